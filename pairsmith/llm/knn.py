@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairsmith.llm import _store
+from pairsmith.sources import interim
 
 #: Pivots, the first by a hash of the identifier: a bounded sample that shapes cells, never results.
 PIVOTS = 64
@@ -71,7 +71,7 @@ def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", k: int =
                 far[at] = np.sqrt(((x - c[cell[at]]) ** 2).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims), pa.array(cell), pa.array(far), pa.array(norm)], names=["id", "v", "dim", "cell", "far", "norm"])
 
-    data = _store.stored(vectors.mapInArrow(cells, "id long, v array<double>, dim int, cell int, far double, norm double"), "vectors")
+    data = interim.stored(vectors.mapInArrow(cells, "id long, v array<double>, dim int, cell int, far double, norm double"), "vectors")
     # at most pivots rows for each dimension
     summary = data.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm"), F.count_if(F.col("id") % every == 0).alias("nq")).collect()
     blocks = {(r.dim, r.cell): max(1, -(-r.n // block_rows)) for r in summary}
@@ -121,11 +121,11 @@ def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", k: int =
     most = data.groupBy("id").count().agg(F.max("count")).first()[0]
     repeats = max(0, (most or 1) - 1)
     own = queries.select("id", "dim", F.col("cell").alias("home"), "group", "cell")
-    first = _store.stored(_searched(data, queries, own, blocks, k, counts_of), "first-scores")
+    first = interim.stored(_searched(data, queries, own, blocks, k, counts_of), "first-scores")
     floors = _best(first, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     known = queries.join(floors, queries.id == floors.query_id, "left").select("id", "v", "dim", "cell", F.col("floor").cast("double").alias("floor"), "group")
     more = known.mapInArrow(needed, "id long, dim int, home int, `group` int, cell int")
-    second = _searched(data, queries, _store.stored(more, "needed-cells"), blocks, k, counts_of)
+    second = _searched(data, queries, interim.stored(more, "needed-cells"), blocks, k, counts_of)
     return _best(first.unionByName(second), k)
 
 

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairsmith.llm import _store
+from pairsmith.sources import interim
 
 #: Labelled rows that rules are learned from, the first by a hash of the identifier.
 LABELLED_ROWS = 20_000
@@ -130,7 +130,7 @@ def learn(
     rows = documents.select(F.col(id).alias("label_id"), F.col(text)).join(F.broadcast(chosen), "label_id")
     names = list(measures())
     values = measured(rows, text).select(F.col("row.bad").alias("bad"), (F.pmod(F.xxhash64(F.col("row.label_id"), F.lit("part")), F.lit(3)) != 0).alias("grow"), *(c.alias(n) for n, c in measures().items()))
-    values = _store.stored(values, "quality-measures")
+    values = interim.stored(values, "quality-measures")
     shares = [i / cuts for i in range(1, cuts)]
     found = values.agg(*(F.percentile_approx(n, shares, 1000).alias(n) for n in names), *(F.percentile_approx(F.when(F.col("bad"), F.col(n)), shares, 1000).alias(f"{n}_bad") for n in names)).first()
     grid = {n: sorted({*(found[n] or []), *(found[f"{n}_bad"] or [])}) for n in names}
@@ -140,7 +140,7 @@ def learn(
     def bucket(name: str) -> Column:
         return F.size(F.filter(F.array(*map(F.lit, grid[name])), lambda cut: cut <= F.col(name)))
 
-    bucketed = _store.stored(values.select("bad", "grow", F.array(*map(bucket, names)).alias("b")).coalesce(4), "quality-buckets")
+    bucketed = interim.stored(values.select("bad", "grow", F.array(*map(bucket, names)).alias("b")).coalesce(4), "quality-buckets")
 
     def covers(conditions: list[tuple[int, bool, int]]) -> Column:
         return reduce(operator.and_, ((F.col("b")[m] >= k) if up else (F.col("b")[m] < k) for m, up, k in conditions), F.lit(True))
@@ -203,3 +203,14 @@ def judge(documents: DataFrame, rules: list[Rule], text: str = "text") -> DataFr
     """(row struct, base measures, base_failed, kept) for every row."""
     out = measured(documents, text)
     return out.select("row", *BASE_COLUMNS, base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"))
+
+
+def accepted(documents: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows that are kept, with their own columns.
+
+    The row number keeps the optimizer from moving the filter below the measures, where
+    it would split the text again for every word.
+    """
+    out = measured(documents, text)
+    out = out.select("row", (~base_failed() & verdict(rules)).alias("kept"), F.monotonically_increasing_id().alias("place"))
+    return out.filter(F.col("kept") & (F.col("place") >= 0)).select("row.*")

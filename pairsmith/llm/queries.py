@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairsmith.llm import _store, bpe, knn, packing, quality, sst
+from pairsmith.llm import bpe, knn, lines, neardup, packing, pii, quality, sst, substrings, toxicity
+from pairsmith.sources import interim
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc.id").alias("doc_id"), "rep_id", "class_id", "n_links")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
@@ -20,11 +26,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.find(documents, pii.learn(documents)).drop("redacted")
+
+
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = sst.write(table(spark, sf_dir, "documents"), _store.new_path(spark, "token-shards"))
+    manifest = sst.write(table(spark, sf_dir, "documents"), interim.new_path(spark, "token-shards"))
     return sst.read(spark, manifest, with_ids=False)
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_recurring_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.char_length("t").cast("long").alias("n_chars_left"), F.sha2("t", 256).alias("left_sha256"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -49,6 +69,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents, rules).select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_packing, op6_token_shards, op8_top_k, op9_quality)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_bpe, op3_packing, op4_pii, op5_substrings, op6_token_shards, op7_lines, op8_top_k, op9_quality, op10_toxicity)}
 
 ORACLE_SQL = {"op8_top_k": OP8_SQL}
