@@ -7,78 +7,146 @@ and a word that was seen before need not be encoded again.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable, Iterable
+from array import array
+from collections.abc import Callable
+
+import regex
 
 #: Words that a worker remembers, in each of two generations.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 300_000
+#: How byte-level vocabularies of this family split a text before merging (fixed value of the format).
+BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _CUT = re.compile(r"(?<=\S) ")
+#: Where these are not in a text, every space follows another character than white space.
+_SPACE_BEFORE_SPACE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 
 
-def words_with_space(text: str) -> list[str]:
-    """Pieces whose concatenation is the text; all but the first begin with the space before a word."""
-    first, *rest = _CUT.split(text)
-    return [first, *map(" ".__add__, rest)] if rest else [first]
+def words_with_space(text: str) -> tuple[str, list[str]]:
+    """The text up to its first cut, and the words after each cut's space (the space left out)."""
+    if any(w in text for w in _SPACE_BEFORE_SPACE):
+        first, *rest = _CUT.split(text)
+    else:
+        first, *rest = text.split(" ")
+    return first, rest
 
 
-def words_without_space(text: str) -> list[str]:
-    """Pieces of the text between spaces, for vocabularies that drop white space."""
-    return text.split(" ")
+def words_without_space(text: str) -> tuple[str, list[str]]:
+    """The words between spaces, for vocabularies that drop white space."""
+    return "", text.split(" ")
 
 
 class Memory(dict):
-    """word -> value; an unknown word is made by ``make`` (a list of words to a list of values)."""
+    """word -> value, made by ``make`` where it isn't known; the oldest generation is forgotten."""
 
-    def __init__(self, make: Callable[[list[str]], list], room: int = REMEMBERED_WORDS):
+    def __init__(self, make: Callable[[str], object], room: int = REMEMBERED_WORDS):
         super().__init__()
         self.make, self.room, self.old = make, room, {}
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Take care that all of the words are known until the next call."""
-        if len(self) > self.room:
+    def __missing__(self, word: str):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(self) >= self.room:
             self.old = dict(self)
             self.clear()
-        unknown = []
-        for w in set(words):
-            if w not in self:
-                if (v := self.old.get(w)) is None:
-                    unknown.append(w)
-                else:
-                    self[w] = v
-        for i in range(0, len(unknown), 2000):
-            part = unknown[i : i + 2000]
-            self.update(zip(part, self.make(part), strict=True))
+        self[word] = value
+        return value
 
 
-_memories: dict[tuple[str, str], Memory] = {}
+def byte_characters() -> dict[str, int]:
+    """The printable character that stands for each byte in byte-level vocabularies, by rule."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {chr(b): b for b in plain}
+    for shift, b in enumerate(b for b in range(256) if b not in set(plain)):
+        out[chr(256 + shift)] = b
+    return out
 
 
-def file_memory(path: str, dtype: str) -> Memory:
-    """Ids by the tokenizers library as bytes of ``dtype``, one memory for each worker process and file."""
-    if (path, dtype) not in _memories:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import numpy as np
-        from tokenizers import Tokenizer
+_OF_BYTE = {b: c for c, b in byte_characters().items()}
+
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
+def byte_text(piece: str) -> str:
+    """The piece in the characters that stand for its bytes."""
+    return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_OF_BYTE)
 
-        def make(words: list[str]) -> list[bytes]:
-            return [np.array(e.ids, dtype=dtype).tobytes() for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-        _memories[path, dtype] = Memory(make)
-    return _memories[path, dtype]
+class LibraryWords:
+    """Ids of a word by the tokenizers library, as bytes.
 
+    For the two known settings of normaliser and pre-tokeniser, words are split here
+    and only the pieces' merges are asked of the library, which is several times
+    faster; words with added tokens, or with characters whose normal form or lower
+    case depends on more than themselves, go through the whole tokenizer.
+    """
+
+    #: Below U+0180 texts are their own NFC, and lower case goes by single characters (but for U+0130).
+    _SIMPLE = re.compile("[\x00-įı-ſ]*")
+
+    def __init__(self, path: str, dtype: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-def encode_texts(texts: list[str], memory: Memory, cut: Callable[[str], list[str]]) -> list[bytes]:
-    """The ids of each text as bytes."""
-    cuts = [cut(t) for t in texts]
-    memory.learn(w for c in cuts for w in c)
-    get = memory.__getitem__
-    return [b"".join(map(get, c)) for c in cuts]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.mark = os.path.commonprefix(added)[:1]  # a quick test: without it no added token is there
+        self.split, self.lower = None, False
+        pre, norm = spec["pre_tokenizer"] or {}, spec["normalizer"]
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False}
+        if norm is None and byte_level.items() <= pre.items() and pre.get("use_regex", True):
+            self.split = regex.compile(BYTE_LEVEL_SPLIT).findall
+        elif norm and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and pre.get("type") == "Sequence":
+            first, second = pre["pretokenizers"]
+            if first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and byte_level.items() <= second.items() and not second["use_regex"]:
+                self.split, self.lower = regex.compile(first["pattern"]["Regex"]).findall, True
+        self.pieces = Memory(self._piece)
+        self.words = Memory(self.alone if self.lower else lambda word: self.alone(" " + word))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        if self.split is None:
+            return [self.alone(t) for t in texts]
+        return encode_texts(texts, self.words, words_without_space if self.lower else words_with_space, self.alone)
+
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() and piece.isalpha() else byte_text(piece)
+        return array(self.code, [t.id for t in self.merge(letters)]).tobytes()
+
+    def alone(self, word: str) -> bytes:
+        if self.split is None or self.mark in word and self.added(word) or self.lower and not word.isascii() and not self._SIMPLE.fullmatch(word):
+            return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        pieces = self.split(word.lower() if self.lower else word)
+        return self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
+
+
+_libraries: dict[tuple[str, str], LibraryWords] = {}
+
+
+def library(path: str, dtype: str) -> LibraryWords:
+    """One encoder, with its memory of recent words, for each worker process and file."""
+    if (path, dtype) not in _libraries:
+        _libraries[path, dtype] = LibraryWords(path, dtype)
+    return _libraries[path, dtype]
+
+
+def encode_texts(texts: list[str], memory: Memory, cut: Callable[[str], tuple[str, list[str]]], alone: Callable[[str], bytes]) -> list[bytes]:
+    """The ids of each text as bytes; ``alone`` encodes what stands before the first cut."""
+    get, out = memory.__getitem__, []
+    for t in texts:
+        first, rest = cut(t)
+        ids = b"".join(map(get, rest))
+        out.append(alone(first) + ids if first else ids)
+    return out
 
 
 def vocabulary_path(name: str) -> str:

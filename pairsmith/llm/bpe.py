@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,81 +24,62 @@ from pyspark.sql import functions as F
 
 from pairsmith.llm import _tokens, _vec
 
-_NONE = 1 << 62
-_PLACE_BITS = 32
-_PLACE = (1 << _PLACE_BITS) - 1
-#: How byte-level vocabularies of this family split a text before merging (fixed value of the format).
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_NONE = 1 << 80
+#: A pair's entry is rank, merged id and place, from high bits to low; ids stay below 2**20.
+_PLACE_BITS, _ID_BITS = 32, 20
+_PLACE, _ID = (1 << _PLACE_BITS) - 1, (1 << _ID_BITS) - 1
+SPLIT = regex.compile(_tokens.BYTE_LEVEL_SPLIT)
 
 
-def merge_with_tree(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Merge adjacent pairs, lowest rank first and leftmost among equals, until none can merge.
+def pair_entries(merges: list[tuple[int, int, int]]) -> dict[int, int]:
+    """Both ids of a pair -> its entry without a place, from (left, right, merged) in the order of rank."""
+    return {a << _ID_BITS | b: (rank << _ID_BITS | merged) << _PLACE_BITS for rank, (a, b, merged) in reversed(list(enumerate(merges)))}
 
-    ranks: pair of ids -> (rank, id of the merged token).
-    """
+
+def merge_with_tree(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """Merge adjacent pairs, lowest rank first and leftmost among equals, until none can merge."""
     n = len(ids)
     if n < 2:
         return ids
+    get = pairs.get
     size = 1 << (n - 2).bit_length()
-    tree = [_NONE] * (2 * size)
-    get = ranks.get
-    mergeable = False
-    for i in range(n - 1):
-        found = get((ids[i], ids[i + 1]))
-        if found is not None:
-            tree[size + i] = found[0] << _PLACE_BITS | i
-            mergeable = True
-    if not mergeable:
-        return ids
+    leaves = [_NONE if (e := get(a << _ID_BITS | b)) is None else e | i for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False))]
+    tree = [_NONE] * size + leaves + [_NONE] * (size - n + 1)
     for i in range(size - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
         tree[i] = a if a < b else b
     ids = list(ids)
-    following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(leaf: int, value: int) -> None:
-        i = size + leaf
-        tree[i] = value
-        while i > 1:
-            a, b = tree[i], tree[i ^ 1]
-            i >>= 1
-            value = a if a < b else b
-            if tree[i] == value:
-                return
-            tree[i] = value
-
+    following, before = list(range(1, n + 1)), list(range(-1, n))
     while (top := tree[1]) != _NONE:
         i = top & _PLACE
         j = following[i]
         k = following[j]
-        ids[i] = get((ids[i], ids[j]))[1]
+        merged = ids[i] = top >> _PLACE_BITS & _ID
         ids[j] = -1
         following[i] = k
-        if k < n:
-            before[k] = i
-            found = get((ids[i], ids[k]))
-            put(i, _NONE if found is None else found[0] << _PLACE_BITS | i)
-            put(j, _NONE)
-        else:
-            put(i, _NONE)
-            if j < n - 1:
-                put(j, _NONE)
+        before[k] = i
         h = before[i]
+        changes = [(i, _NONE if k == n or (e := get(merged << _ID_BITS | ids[k])) is None else e | i)]
+        if k < n:
+            changes.append((j, _NONE))
         if h >= 0:
-            found = get((ids[h], ids[i]))
-            put(h, _NONE if found is None else found[0] << _PLACE_BITS | h)
+            changes.append((h, _NONE if (e := get(ids[h] << _ID_BITS | merged)) is None else e | h))
+        for leaf, value in changes:
+            at = size + leaf
+            if tree[at] == value:
+                continue
+            tree[at] = value
+            while at > 1:
+                other = tree[at ^ 1]
+                at >>= 1
+                if other < value:
+                    value = other
+                if tree[at] == value:
+                    break
+                tree[at] = value
     return [x for x in ids if x >= 0]
 
 
-def byte_characters() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies, by rule."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    out = {chr(b): b for b in plain}
-    for shift, b in enumerate(b for b in range(256) if b not in set(plain)):
-        out[chr(256 + shift)] = b
-    return out
-
-
 class ByteLevelBpe:
     """A byte-level vocabulary in the tokenizers file format: encodes by segment tree, decodes by table."""
 
@@ -106,8 +88,8 @@ class ByteLevelBpe:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in reversed(list(enumerate(merges)))}
-        of_byte = byte_characters()
+        self.pairs = pair_entries([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
+        of_byte = _tokens.byte_characters()
         self.first_ids = [0] * 256
         for c, b in of_byte.items():
             self.first_ids[b] = vocab[c]
@@ -118,25 +100,19 @@ class ByteLevelBpe:
         table = [words.get(i, b"") for i in range(max(words) + 1)]
         self.token_bytes = self._table(table)
         self.token_decimals = self._table([b"%d," % i for i in range(len(table))])
-        self.pieces: dict[str, list[int]] = {}
-        self.memory = _tokens.Memory(self._encode_words)
+        self.pieces = _tokens.Memory(self._encode_piece)
+        self.memory = _tokens.Memory(lambda word: self._as_bytes(" " + word))
 
     @staticmethod
     def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = np.array([len(e) for e in entries], dtype=np.int64)
         return np.frombuffer(b"".join(entries), dtype=np.uint8), np.cumsum(n) - n, n
 
+    def _encode_piece(self, piece: str) -> list[int]:
+        return merge_with_tree([self.first_ids[b] for b in piece.encode("utf-8", "surrogatepass")], self.pairs)
+
     def _encode_plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        pieces, first = self.pieces, self.first_ids
-        for piece in SPLIT.findall(text):
-            ids = pieces.get(piece)
-            if ids is None:
-                if len(pieces) > _tokens.REMEMBERED_WORDS:
-                    pieces.clear()
-                ids = pieces[piece] = merge_with_tree([first[b] for b in piece.encode("utf-8", "surrogatepass")], self.ranks)
-            out += ids
-        return out
+        return [i for piece in SPLIT.findall(text) for i in self.pieces[piece]]
 
     def encode_ids(self, text: str) -> list[int]:
         """The ids of one text; the strings of added tokens give their ids, as in the library."""
@@ -144,11 +120,11 @@ class ByteLevelBpe:
             return self._encode_plain(text)
         return [i for part in self.added_split.split(text) if part for i in (self.added.get(part) or self._encode_plain(part))]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        return [np.array(self.encode_ids(w), dtype="<u4").tobytes() for w in words]
+    def _as_bytes(self, text: str) -> bytes:
+        return array("I", self.encode_ids(text)).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(b, dtype="<u4") for b in _tokens.encode_texts(texts, self.memory, _tokens.words_with_space)]
+        return [np.frombuffer(b, dtype="<u4") for b in _tokens.encode_texts(texts, self.memory, _tokens.words_with_space, self._as_bytes)]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The text of each list of ids; bytes that are no UTF-8 become U+FFFD."""

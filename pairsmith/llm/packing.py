@@ -93,7 +93,7 @@ def pack(
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _tokens.file_memory(_tokens.vocabulary_path(vocabulary), "<u4")
+        encoder = _tokens.library(_tokens.vocabulary_path(vocabulary), "<u4")
         end = np.array([end_id], dtype="<u4").tobytes()
         base = TaskContext.get().partitionId() << 33
         names: list[pa.Array] = []
@@ -104,11 +104,12 @@ def pack(
             nonlocal base
             keys = pa.chunked_array(names).combine_chunks()
             pieces = place([len(x) for x in ids], capacity)
-            for i in range(0, len(pieces), 20_000):
-                part = pieces[i : i + 20_000]
+            step = 1_000 if with_ids else 20_000
+            for i in range(0, len(pieces), step):
+                part = pieces[i : i + step]
                 d, start, n, s, at = (np.array(x, dtype=np.int64) for x in zip(*part, strict=True))
                 cut = [ids[a][b : b + c].astype("<u4") for a, b, c, _, _ in part]
-                columns = [keys.take(pa.array(d)), pa.array(start), pa.array(n), pa.array([zlib.crc32(x) for x in cut], pa.int64()), pa.array([len(ids[a]) for a in d], pa.int64()), pa.array(s + base), pa.array(at)]
+                columns = [keys.take(pa.array(d)), pa.array(start), pa.array(n), pa.array([zlib.crc32(x) for x in cut], pa.int64()), pa.array([len(ids[a]) for a, *_ in part], pa.int64()), pa.array(s + base), pa.array(at)]
                 if with_ids:
                     columns.append(pa.array([x.astype(np.int32) for x in cut], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=columns_out)
@@ -117,7 +118,7 @@ def pack(
             ids.clear()
 
         for batch, _, _ in _vec.steps(batches):
-            encoded = _tokens.encode_texts([t or "" for t in batch.column(1).to_pylist()], memory, _tokens.words_without_space)
+            encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             names.append(batch.column(0))
             for x in encoded:
                 ids.append(np.frombuffer(x + end, dtype="<u4").astype(np.uint16 if small else np.uint32))

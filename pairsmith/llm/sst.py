@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairsmith.llm import _store, _tokens, _vec
+from pairsmith.llm import _tokens, _vec
+from pairsmith.sources import interim
 
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -164,10 +165,10 @@ def write(df: DataFrame, folder: str, text: str = "text", id: str = "doc_id", vo
         bounds = sorted(set(df.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first().b or []))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _tokens.file_memory(_tokens.vocabulary_path(vocabulary), dtype)
+        encoder = _tokens.library(_tokens.vocabulary_path(vocabulary), dtype)
         end = np.array([end_id], dtype=dtype).tobytes()
         for batch, _, _ in _vec.steps(batches):
-            ids = _tokens.encode_texts([t or "" for t in batch.column(1).to_pylist()], memory, _tokens.words_with_space)
+            ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
             shard = np.searchsorted(bounds, batch.column(0).to_numpy(), side="left") if bounds else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(0), pa.array([x + end for x in ids], pa.binary())], names=["shard", "key", "ids"])
 
@@ -192,8 +193,8 @@ def write(df: DataFrame, folder: str, text: str = "text", id: str = "doc_id", vo
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (f"{folder}/shard-{shard:06d}.sst", pa.string()), (len(writer.keys), pa.int64()), (writer.n_values, pa.int64()), (first, pa.int64()), (last, pa.int64()))], names=MANIFEST.names)
 
     ids = df.select(key.alias("key"), F.col(text)).mapInArrow(encoded, "shard int, key long, ids binary")
-    placed = ids.repartition(max(1, len(bounds) + 1), "shard").sortWithinPartitions("shard", "key", "ids")
-    return _store.stored(placed.mapInArrow(written, MANIFEST), "manifest")
+    placed = ids.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "ids")
+    return interim.stored(placed.mapInArrow(written, MANIFEST), "manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame, id: str = "doc_id", with_ids: bool = True) -> DataFrame:
