@@ -136,7 +136,7 @@ def near_duplicates(
 
     texts = rows.select(F.col("doc.id").alias("id"), F.col("doc.h").alias("h"), "t")
     reps = members.select("grp", "block", "class", "size", F.col("rep.id").alias("rep_id"), F.col("rep.h").alias("rep_h"))
-    with_text = texts.join(reps, F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h"))).select("grp", "block", "class", "size", "t")
+    with_text = texts.join(reps.hint("merge"), F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h"))).select("grp", "block", "class", "size", "t")
     # a row that is there twice has one class but two rows
     to_verify = with_text.join(sides, ["grp", "block"]).select("grp", "i", "j", "block", "class", "size", "t")
     verified = interim.stored(to_verify.groupBy("grp", "i", "j").applyInPandas(_verifier(words, similarity), "class long, links long, root long"), "links")
@@ -202,4 +202,4 @@ def one_of_each(df: DataFrame, text: str = "text", id: str = "doc_id", **options
     found = near_duplicates(df, text, id, **options)
     keep = found.filter(F.col("doc.id").eqNullSafe(F.col("class_id"))).select(F.col("doc.id").alias("keep_id"), F.col("doc.h").alias("keep_h"))
     rows = df.select(F.struct("*").alias("row"), F.col(id).alias("id"), F.xxhash64(text).alias("h"))
-    return rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")), "left_semi").select("row.*")
+    return rows.join(keep.hint("merge"), F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("h") == F.col("keep_h")), "left_semi").select("row.*")
