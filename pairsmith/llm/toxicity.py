@@ -180,9 +180,11 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", id: str =
 
 def _lexicon(hashes: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Tokens that stand far more often in toxic documents than in others: the largest z of the two shares."""
-    pairs = np.unique(np.stack([hashes, owner.astype(np.uint64)], axis=1), axis=0)
-    tokens_, index, n = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-    toxic = np.bincount(index, weights=y[pairs[:, 1].astype(np.int64)], minlength=len(tokens_))
+    begin = np.searchsorted(owner, np.arange(len(y) + 1))
+    once = [np.unique(hashes[begin[d] : begin[d + 1]]) for d in range(len(y))]
+    weights = np.repeat(y, [len(o) for o in once])
+    tokens_, index, n = np.unique(np.concatenate(once), return_inverse=True, return_counts=True)
+    toxic = np.bincount(index, weights=weights, minlength=len(tokens_))
     rate = y.mean()
     z = (toxic - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-12)
     share = (toxic + rate) / (n + 1)
