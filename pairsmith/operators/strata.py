@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from pairsmith.functions.predicates import named
 
-_UP_TO = Window.partitionBy(F.lit(0)).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+
+def _up_to():
+    return Window.partitionBy(F.lit(0)).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _spine(df: DataFrame, n_rules: int, name: str) -> DataFrame:
@@ -39,7 +41,7 @@ def cumulative_precision(strata: DataFrame) -> DataFrame:
         F.when(known, n).otherwise(0.0).alias("w"),
         F.when(known, n * F.col("p_hat")).otherwise(0.0).alias("wp"),
         F.when(known, n * n * F.col("se") * F.col("se")).otherwise(0.0).alias("wv"),
-    ).select("m", F.sum("n_total").over(_UP_TO).alias("n"), *(F.sum(x).over(_UP_TO).alias(x) for x in ("w", "wp", "wv")))
+    ).select("m", F.sum("n_total").over(_up_to()).alias("n"), *(F.sum(x).over(_up_to()).alias(x) for x in ("w", "wp", "wv")))
     some = F.col("w") > 0
     return sums.select("m", F.when(some, F.col("n")).otherwise(0).cast("long").alias("n_1_to_m"), F.when(some, F.try_divide("wp", "w")).alias("p_strat"), F.when(some, F.try_divide(F.sqrt("wv"), F.col("w"))).alias("se_strat"))
 
@@ -49,7 +51,7 @@ def labelled_cumulative(df: DataFrame, n_rules: int, label: str = "label") -> Da
     y = named(label).cast("boolean")
     counts = df.filter((F.col("stratum_k") >= 0) & y.isNotNull()).groupBy(F.col("stratum_k").alias("m")).agg(F.count("*").alias("n"), F.count_if(y).alias("t"))
     spine = _spine(df, n_rules, "m").join(F.broadcast(counts), "m", "left").fillna(0)
-    out = spine.select("m", F.sum("n").over(_UP_TO).alias("n_lab"), F.sum("t").over(_UP_TO).alias("tp_lab"))
+    out = spine.select("m", F.sum("n").over(_up_to()).alias("n_lab"), F.sum("t").over(_up_to()).alias("tp_lab"))
     return out.withColumn("p_lab", F.try_divide(F.col("tp_lab").cast("double"), F.col("n_lab").cast("double")))
 
 
