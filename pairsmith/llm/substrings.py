@@ -147,7 +147,7 @@ def repeated_ranges(df: DataFrame, text: str = "text", id: str = "doc_id", lengt
     # what is still open, with its bytes; a row that is there twice has no class of one row
     wanted = open_.groupBy("doc").agg(F.collect_list("place").alias("places")).select(F.col("doc.id").alias("open_id"), F.col("doc.h").alias("open_h"), "places")
     texts = rows.select(F.col("doc.id").alias("id"), F.col("doc.h").alias("h"), "t")
-    joined = texts.join(wanted, F.col("id").eqNullSafe(F.col("open_id")) & (F.col("h") == F.col("open_h"))).select(F.struct("id", "h").alias("doc"), "t", "places")
+    joined = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("open_id")) & (F.col("h") == F.col("open_h"))).select(F.struct("id", "h").alias("doc"), "t", "places")
     pieces = interim.stored(joined.mapInArrow(lambda b: _pieces(b, length), f"doc {kind}, piece long, bytes binary"), "open-phrases")
     more, open_ = _settled(pieces.mapInArrow(lambda b: _stretches(b, length), named), length, "stretches")
     lists = open_.groupBy("doc", "piece").agg(F.collect_list("place").alias("places"))
@@ -218,7 +218,7 @@ def without_repeats(df: DataFrame, text: str = "text", id: str = "doc_id", lengt
     """(id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept binary) for every row."""
     ranges = interim.stored(repeated_ranges(df, text, id, length), "repeats").select(F.col("doc.id").alias("r_id"), F.col("doc.h").alias("r_h"), "ranges")
     rows = df.select(F.col(id).alias("id"), F.hash(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    joined = rows.join(ranges, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left").select("id", "t", F.transform("ranges", lambda x: F.shiftleft(x["a"], 32).bitwiseOR(x["b"])).alias("ranges"))
+    joined = rows.join(ranges.hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left").select("id", "t", F.transform("ranges", lambda x: F.shiftleft(x["a"], 32).bitwiseOR(x["b"])).alias("ranges"))
     names = [id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

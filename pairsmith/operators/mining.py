@@ -8,8 +8,10 @@ bounded and live on the driver; patterns stay a table.
 
 from __future__ import annotations
 
+import itertools
 import logging
 import math
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -115,6 +117,25 @@ def cut_candidates(candidates: list[Candidate], most: int) -> list[Candidate]:
     return candidates if len(candidates) <= most else sorted(candidates, key=lambda c: -c.true_positives)[:most]
 
 
+def diverse_candidates(candidates: list[Candidate], most: int) -> list[Candidate]:
+    """The best half by precision and the best half by true positives, in their old order."""
+    if len(candidates) <= most:
+        return candidates
+    half = most // 2
+    chosen = {i for key in (lambda c: -c.precision, lambda c: -c.true_positives) for i in sorted(range(len(candidates)), key=lambda i: key(candidates[i]))[:half]}
+    return [c for i, c in enumerate(candidates) if i in chosen]
+
+
+def merge_most_frequent_pair(rules: Sequence[Rule]) -> list[Rule]:
+    """Rules that share the most frequent pair of predicates become one with all their predicates; recall may fall."""
+    together = Counter(pair for r in rules for pair in itertools.combinations(sorted(r), 2))
+    if not together or (top := together.most_common(1)[0])[1] < 2:
+        return list(rules)
+    sharing = [r for r in rules if set(top[0]) <= set(r)]
+    merged = tuple(dict.fromkeys(p for r in sharing for p in r))
+    return [merged if r is sharing[0] else r for r in rules if r is sharing[0] or r not in sharing]
+
+
 def find_composition(candidates: Sequence[Candidate], patterns: Patterns, min_recall: float = 0.99, min_new_tp: int = 5) -> Composition:
     """Greedy OR by cumulative precision until the target recall; one small aggregation over uncovered patterns a step."""
     out = Composition()

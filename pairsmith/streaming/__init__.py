@@ -1,0 +1 @@
+"""Nothing here: the surveyed capabilities work on bounded tables only."""
