@@ -23,11 +23,12 @@ BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 _CUT = re.compile(r"(?<=\S) ")
 #: Where these are not in a text, every space follows another character than white space.
 _SPACE_BEFORE_SPACE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
+_ASCII_SPACE_BEFORE_SPACE = [x for x in _SPACE_BEFORE_SPACE if x.isascii()]
 
 
 def words_with_space(text: str) -> tuple[str, list[str]]:
     """The text up to its first cut, and the words after each cut's space (the space left out)."""
-    if any(w in text for w in _SPACE_BEFORE_SPACE):
+    if any(w in text for w in (_ASCII_SPACE_BEFORE_SPACE if text.isascii() else _SPACE_BEFORE_SPACE)):
         first, *rest = _CUT.split(text)
     else:
         first, *rest = text.split(" ")
@@ -66,6 +67,7 @@ def byte_characters() -> dict[str, int]:
     return out
 
 
+_SPACE_CHARACTER = next(c for c, b in byte_characters().items() if b == 0x20)
 _OF_BYTE = {b: c for c, b in byte_characters().items()}
 
 
@@ -86,6 +88,8 @@ class LibraryWords:
     #: Below U+0180 texts are their own NFC, and lower case goes by single characters (but for U+0130).
     _SIMPLE = re.compile("[\x00-įı-ſ]*")
 
+    _MARKS = (",", ".", ";", ":", "!", "?")
+
     def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -110,7 +114,7 @@ class LibraryWords:
             if first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and byte_level.items() <= second.items() and not second["use_regex"]:
                 self.split, self.lower = regex.compile(first["pattern"]["Regex"]).findall, True
         self.pieces = Memory(self._piece)
-        self.words = Memory(self.alone if self.lower else lambda word: self.alone(" " + word))
+        self.words = Memory(self._lower_word if self.lower else self._spaced_word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
@@ -119,9 +123,26 @@ class LibraryWords:
         return encode_texts(texts, self.words, words_without_space if self.lower else words_with_space, self.alone)
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece if piece.isascii() and piece.isalpha() else byte_text(piece)
+        letters = piece.replace(" ", _SPACE_CHARACTER) if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece.isalpha()) else byte_text(piece)
         return array(self.code, [t.id for t in self.merge(letters)]).tobytes()
 
+    def _spaced_word(self, word: str) -> bytes:
+        """The word behind a space; letters are one piece, and so is one mark behind them."""
+        if word.isalpha():
+            return self._piece(" " + word)
+        if word[-1:] in self._MARKS and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.pieces[word[-1]]
+        return self.alone(" " + word)
+
+    def _lower_word(self, word: str) -> bytes:
+        if word.isascii() or self._SIMPLE.fullmatch(word):
+            low = word.lower()
+            if low.isalpha():
+                return self._piece(low) if low == word else self.words[low]
+            if low[-1:] in self._MARKS and low[:-1].isalpha():
+                return self.words[low[:-1]] + self.pieces[low[-1]]
+        return self.alone(word)
+
     def alone(self, word: str) -> bytes:
         if self.split is None or self.mark in word and self.added(word) or self.lower and not word.isascii() and not self._SIMPLE.fullmatch(word):
             return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()

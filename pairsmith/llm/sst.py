@@ -155,7 +155,7 @@ def write(df: DataFrame, folder: str, text: str = "text", id: str = "doc_id", vo
     equally many documents whatever the identifiers are.  Only ids are shuffled.
     """
     spark = df.sparkSession
-    total = df.agg(F.sum(F.coalesce(F.length(text), F.lit(0)) + 8).alias("n")).first().n or 0
+    total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 8).alias("n")).first().n or 0
     n_shards = max(1, -(-total // shard_bytes))
     least = -(1 << 63)
     key = F.coalesce(F.col(id).cast("long"), F.lit(least))
