@@ -35,6 +35,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Self-loops add no node of their own; rows with a null end are ignored.
     """
+    return interim.settled(edges.sparkSession, lambda: _rounds(edges, a, b, max_rounds), "component-labels")
+
+
+def _rounds(edges: DataFrame, a: str, b: str, max_rounds: int) -> DataFrame:
     now = interim.stored(_tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()), "components")
     seen = None
     for _ in range(max_rounds):

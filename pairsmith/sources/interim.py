@@ -5,11 +5,13 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Paths of the tables stored within each open scope, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,15 +44,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write and reread: cuts the lineage, survives lost executors, and frees the shuffle files behind it."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     with _shuffle_files_go(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within go at the end; nothing that reads them may be used after it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _scopes.pop())
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Store what ``make`` returns, then delete the tables that were stored on its way."""
+    _scopes.append([])
+    try:
+        df = make()
+    except BaseException:
+        _delete(spark, _scopes.pop())
+        raise
+    inner = _scopes.pop()
+    try:
+        return stored(df, name)
+    finally:
+        _delete(spark, inner)
