@@ -360,16 +360,25 @@ def naive_lines(rows):
             out += [(k, len(w), *w[: cuts[k]], "|", *w[cuts[k + 1] :]) for k in range(lines.STRETCHES)]
         return out
 
-    texts = defaultdict(set)
+    def origin(t):
+        data = (t or "").encode()
+        at = np.array([0, len(data)])
+        data = np.frombuffer(data, np.uint8)
+        s, _ = neardup.shingles(data, at)
+        return int(s.min()) if len(s) else 0
+
+    texts, origins = defaultdict(set), defaultdict(set)
     first = {}
     for i, t in rows:
+        own = origin(t)
         for line in (t or "").split("\n"):
             for k in templates(line):
                 texts[k].add(t)
+                origins[k].add(own)
                 first[k] = min(first.get(k, (i, t)), (i, t))
     drop = {}
     for i, t in rows:
-        drop[i] = [n for n, line in enumerate((t or "").split("\n")) if any(len(texts[k]) >= lines.MIN_DOCUMENTS and first[k][1] != t for k in templates(line))]
+        drop[i] = [n for n, line in enumerate((t or "").split("\n")) if any(len(origins[k]) >= lines.MIN_DOCUMENTS and 3 * len(origins[k]) >= len(texts[k]) and first[k][1] != t for k in templates(line))]
     return drop
 
 
@@ -379,7 +388,10 @@ def test_lines(spark):
     varied = prose(77, 24).split()
     rows += [(10 + i, prose(200 + i, 5) + "\n" + " ".join([*varied[:20], f"x{chr(97 + i)}", *varied[21:]]) + "\r\n tail") for i in range(4)]
     rows += [(20, rows[0][1]), (21, None), (22, ""), (23, license_line)]
+    page = [prose(900 + k, 30) for k in range(12)]
+    rows += [(30 + i, "\n".join([*page[:i], page[i] + f" edit{i}", *page[i + 1 :]])) for i in range(9)]  # near copies
     expected = naive_lines(rows)
+    assert not any(expected[30 + i] for i in range(9))
     df = documents(spark, [t for _, t in rows], [i for i, _ in rows]).withColumn("row", F.lit(1)).withColumn("drop", F.lit(2))
     got = {r.row.doc_id: r for r in lines.without_recurring_lines(df).collect()}
     assert any(expected.values()) and not expected[0] and not expected[20]
