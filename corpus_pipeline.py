@@ -64,8 +64,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = interim.stored(docs, "stage")
+    for _, stage in STAGES:
+        docs = interim.settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), "stage")
     return docs

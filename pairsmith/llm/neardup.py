@@ -111,7 +111,10 @@ def near_duplicates(
     rep_id: the least identifier of equal shingle sets; class_id: of all documents
     connected by links; n_links: other documents with the similarity or more.
     """
-    depth = depth_for(similarity, recall, trees)
+    return interim.settled(df.sparkSession, lambda: _near_duplicates(df, text, id, words, similarity, depth_for(similarity, recall, trees), trees, block_classes, block_shingles), "near-duplicates")
+
+
+def _near_duplicates(df: DataFrame, text: str, id: str, words: int, similarity: float, depth: int, trees: int, block_classes: int, block_shingles: int) -> DataFrame:
     doc = F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("h"))
     rows = df.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = rows.schema["doc"].dataType.simpleString()

@@ -126,6 +126,11 @@ def learn(
     min_cover: int = 8,
 ) -> list[Rule]:
     """A decision list of rejecting rules from rows labelled 1 (good) or 0 (bad)."""
+    with interim.scope(documents.sparkSession):
+        return _learn(documents, labels, text, id, label, max_rows, max_rules, max_conditions, cuts, min_precision, min_cover)
+
+
+def _learn(documents: DataFrame, labels: DataFrame, text: str, id: str, label: str, max_rows: int, max_rules: int, max_conditions: int, cuts: int, min_precision: float, min_cover: int) -> list[Rule]:
     chosen = labels.select(F.col(id).alias("label_id"), (F.col(label) == 0).alias("bad")).dropna().orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
     rows = documents.select(F.col(id).alias("label_id"), F.col(text)).join(F.broadcast(chosen), "label_id")
     names = list(measures())
