@@ -33,7 +33,7 @@ from pairsmith.sources import interim
 PIVOTS = 64
 #: Vectors in a block of data and in a group of queries.
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
+QUERY_ROWS = 4096
 
 
 def integer_vectors(df: DataFrame, vector: str, id: str, scale: float) -> DataFrame:
@@ -49,6 +49,10 @@ def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
 
 def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", k: int = 5, every: int = 50, scale: float = 256.0, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best for every row whose identifier ``every`` divides."""
+    return interim.settled(df.sparkSession, lambda: _top_k(df, vector, id, k, every, scale, pivots, block_rows, query_rows), "top-k")
+
+
+def _top_k(df: DataFrame, vector: str, id: str, k: int, every: int, scale: float, pivots: int, block_rows: int, query_rows: int) -> DataFrame:
     spark = df.sparkSession
     vectors = integer_vectors(df, vector, id, scale)
     chosen = vectors.withColumn("dim", F.size("v")).orderBy(F.xxhash64("id"), "id").limit(pivots).select("dim", "v").collect()
@@ -75,7 +79,7 @@ def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", k: int =
     # at most pivots rows for each dimension
     summary = data.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm"), F.count_if(F.col("id") % every == 0).alias("nq")).collect()
     blocks = {(r.dim, r.cell): max(1, -(-r.n // block_rows)) for r in summary}
-    groups = {(r.dim, r.cell): max(1, -(-r.nq // query_rows)) for r in summary}
+    first_group, groups = _query_groups(summary, query_rows)
     if not summary:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
@@ -83,7 +87,7 @@ def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", k: int =
         return F.element_at(F.create_map(*(F.lit(x) for (d, c), n in values.items() for x in (d * 1_000_000 + c, n))), F.col("dim") * 1_000_000 + F.col("cell"))
 
     data = data.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), counts_of(blocks)).cast("int"))
-    queries = data.filter(F.col("id") % every == 0).withColumn("group", F.pmod(F.xxhash64("id", F.lit(2)), counts_of(groups)).cast("int"))
+    queries = data.filter(F.col("id") % every == 0).withColumn("group", (counts_of(first_group) + F.pmod(F.xxhash64("id", F.lit(2)), counts_of(groups))).cast("int"))
     by_dim = {d: sorted((r for r in summary if r.dim == d), key=lambda r: r.cell) for d in {r.dim for r in summary}}
 
     def bounds(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
@@ -116,19 +120,32 @@ def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", k: int =
                             out_id.append(i)
                             out_cell.append(names[c])
             take = pa.array(out_id, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(3).take(take), batch.column(5).take(take), pa.array(out_cell, pa.int32())], names=["id", "dim", "home", "group", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(5).take(take), pa.array(out_cell, pa.int32())], names=["id", "dim", "group", "cell"])
 
     most = data.groupBy("id").count().agg(F.max("count")).first()[0]
     repeats = max(0, (most or 1) - 1)
-    own = queries.select("id", "dim", F.col("cell").alias("home"), "group", "cell")
+    own = queries.select("id", "dim", "group", "cell")
     first = interim.stored(_searched(data, queries, own, blocks, k, counts_of), "first-scores")
     floors = _best(first, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     known = queries.join(floors, queries.id == floors.query_id, "left").select("id", "v", "dim", "cell", F.col("floor").cast("double").alias("floor"), "group")
-    more = known.mapInArrow(needed, "id long, dim int, home int, `group` int, cell int")
+    more = known.mapInArrow(needed, "id long, dim int, `group` int, cell int")
     second = _searched(data, queries, interim.stored(more, "needed-cells"), blocks, k, counts_of)
     return _best(first.unionByName(second), k)
 
 
+def _query_groups(summary: list, query_rows: int) -> tuple[dict, dict]:
+    """(first group, groups) of each cell's queries: neighbouring small cells share a group, a large cell has several."""
+    first, count, at, held = {}, {}, 0, 0
+    for r in sorted(summary, key=lambda r: (r.dim, r.cell)):
+        if held and held + r.nq > query_rows:
+            at, held = at + 1, 0
+        first[r.dim, r.cell], count[r.dim, r.cell] = at, max(1, -(-r.nq // query_rows))
+        held += r.nq
+        if count[r.dim, r.cell] > 1:
+            at, held = at + count[r.dim, r.cell], 0
+    return first, count
+
+
 def _searched(data: DataFrame, queries: DataFrame, pairs: DataFrame, blocks: dict, k: int, counts_of) -> DataFrame:
     """The k best of each (query, data block) among the pairs (query id, its group; cell)."""
 
@@ -152,9 +169,9 @@ def _searched(data: DataFrame, queries: DataFrame, pairs: DataFrame, blocks: dic
                     out.append(pd.DataFrame({"query_id": q, "vec_id": ids[hits], "score": row[hits].astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
-    places = pairs.select("id", "dim", "home", "group", "cell", F.explode(F.sequence(F.lit(0), counts_of(blocks) - 1)).alias("block"))
-    tasks = places.select("dim", "home", "group", "cell", "block").distinct()
-    key = ["dim", "cell", "block", "home", "group"]
+    places = pairs.select("id", "dim", "group", "cell", F.explode(F.sequence(F.lit(0), counts_of(blocks) - 1)).alias("block"))
+    tasks = places.select("dim", "group", "cell", "block").distinct()
+    key = ["dim", "cell", "block", "group"]
     renewed = [F.col(c).alias(c) for c in (*key, "id", "v")]  # columns of their own for either side
     left = data.join(tasks, ["dim", "cell", "block"]).select(*renewed)
     right = places.join(queries.select("id", "v"), "id").select(*renewed)
