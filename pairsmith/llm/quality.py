@@ -134,8 +134,9 @@ def _learn(documents: DataFrame, labels: DataFrame, text: str, id: str, label: s
     chosen = labels.select(F.col(id).alias("label_id"), (F.col(label) == 0).alias("bad")).dropna().orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
     rows = documents.select(F.col(id).alias("label_id"), F.col(text)).join(F.broadcast(chosen), "label_id")
     names = list(measures())
-    values = measured(rows, text).select(F.col("row.bad").alias("bad"), (F.pmod(F.xxhash64(F.col("row.label_id"), F.lit("part")), F.lit(3)) != 0).alias("grow"), *(c.alias(n) for n, c in measures().items()))
-    values = interim.stored(values, "quality-measures")
+    values = measured(rows, text).select(base_failed().alias("failed"), F.col("row.bad").alias("bad"), (F.pmod(F.xxhash64(F.col("row.label_id"), F.lit("part")), F.lit(3)) != 0).alias("grow"), *(c.alias(n) for n, c in measures().items()))
+    # the list decides on texts that pass the base rules, so it learns from those
+    values = interim.stored(values, "quality-measures").filter("NOT failed")
     shares = [i / cuts for i in range(1, cuts)]
     found = values.agg(*(F.percentile_approx(n, shares, 1000).alias(n) for n in names), *(F.percentile_approx(F.when(F.col("bad"), F.col(n)), shares, 1000).alias(f"{n}_bad") for n in names)).first()
     grid = {n: sorted({*(found[n] or []), *(found[f"{n}_bad"] or [])}) for n in names}
@@ -167,11 +168,11 @@ def _learn(documents: DataFrame, labels: DataFrame, text: str, id: str, label: s
         score = [((counts[f"bad{i}"] + 0.5) / (counts[f"n{i}"] + 1), counts[f"n{i}"]) for i in range(len(conditions))]
         length = max(range(len(conditions)), key=lambda i: (score[i][0], -i)) + 1
         precision, n = score[length - 1]
-        if precision < min_precision or n < max(2, min_cover // 2):
-            break
         conditions = conditions[:length]
-        rules.append(Rule(tuple(Condition(names[m], up, float(grid[names[m]][k - 1])) for m, up, k in conditions), precision, n))
         taken = taken | covers(conditions)
+        if precision < min_precision or n < max(2, min_cover // 2):
+            continue  # not sure enough to reject; the next rule looks elsewhere
+        rules.append(Rule(tuple(Condition(names[m], up, float(grid[names[m]][k - 1])) for m, up, k in conditions), precision, n))
     return rules
 
 
