@@ -113,9 +113,13 @@ def _phrases(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _with_repeated(rows: DataFrame, name: str) -> DataFrame:
-    """The rows whose ``name`` occurs twice or more: counts are combined before the shuffle, the join can split hot names."""
-    counts = rows.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name)
-    return rows.join(counts, name, "left_semi")
+    """The rows whose ``name`` occurs twice or more.
+
+    Counts are combined before their shuffle.  They are stored, so that the join has
+    nothing but a shuffle on either side and a hot name can be split at run time.
+    """
+    counts = interim.stored(rows.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name), f"repeated-{name}")
+    return rows.join(counts.hint("merge"), name, "left_semi")
 
 
 def _settled(rows: DataFrame, length: int, step: str) -> tuple[DataFrame, DataFrame]:
@@ -216,7 +220,7 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def without_repeats(df: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, with_bytes: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept binary) for every row."""
-    ranges = interim.stored(repeated_ranges(df, text, id, length), "repeats").select(F.col("doc.id").alias("r_id"), F.col("doc.h").alias("r_h"), "ranges")
+    ranges = interim.settled(df.sparkSession, lambda: repeated_ranges(df, text, id, length), "repeats").select(F.col("doc.id").alias("r_id"), F.col("doc.h").alias("r_h"), "ranges")
     rows = df.select(F.col(id).alias("id"), F.hash(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     joined = rows.join(ranges.hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left").select("id", "t", F.transform("ranges", lambda x: F.shiftleft(x["a"], 32).bitwiseOR(x["b"])).alias("ranges"))
     names = [id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes]
