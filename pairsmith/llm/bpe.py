@@ -28,6 +28,8 @@ _NONE = 1 << 80
 #: A pair's entry is rank, merged id and place, from high bits to low; ids stay below 2**20.
 _PLACE_BITS, _ID_BITS = 32, 20
 _PLACE, _ID = (1 << _PLACE_BITS) - 1, (1 << _ID_BITS) - 1
+#: Merging here costs more than in the library, so more words are remembered.
+REMEMBERED_WORDS = 500_000
 SPLIT = regex.compile(_tokens.BYTE_LEVEL_SPLIT)
 
 
@@ -101,7 +103,7 @@ class ByteLevelBpe:
         self.token_bytes = self._table(table)
         self.token_decimals = self._table([b"%d," % i for i in range(len(table))])
         self.pieces = _tokens.Memory(self._encode_piece)
-        self.memory = _tokens.Memory(lambda word: self._as_bytes(" " + word))
+        self.memory = _tokens.Memory(self._spaced_word, REMEMBERED_WORDS)
 
     @staticmethod
     def _table(entries: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ class ByteLevelBpe:
         return np.frombuffer(b"".join(entries), dtype=np.uint8), np.cumsum(n) - n, n
 
     def _encode_piece(self, piece: str) -> list[int]:
-        return merge_with_tree([self.first_ids[b] for b in piece.encode("utf-8", "surrogatepass")], self.pairs)
+        return merge_with_tree(list(map(self.first_ids.__getitem__, piece.encode("utf-8", "surrogatepass"))), self.pairs)
 
     def _encode_plain(self, text: str) -> list[int]:
         return [i for piece in SPLIT.findall(text) for i in self.pieces[piece]]
@@ -120,6 +122,14 @@ class ByteLevelBpe:
             return self._encode_plain(text)
         return [i for part in self.added_split.split(text) if part for i in (self.added.get(part) or self._encode_plain(part))]
 
+    def _spaced_word(self, word: str) -> bytes:
+        """The word behind a space; letters are one piece, and so is one mark behind them."""
+        if word.isalpha():
+            return array("I", self._encode_piece(" " + word)).tobytes()
+        if word[-1:] in _tokens.LibraryWords._MARKS and word[:-1].isalpha():
+            return self.memory[word[:-1]] + self._as_bytes(word[-1])
+        return self._as_bytes(" " + word)
+
     def _as_bytes(self, text: str) -> bytes:
         return array("I", self.encode_ids(text)).tobytes()
 
