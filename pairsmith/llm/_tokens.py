@@ -16,7 +16,7 @@ from collections.abc import Callable
 import regex
 
 #: Words that a worker remembers, in each of two generations.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 #: How byte-level vocabularies of this family split a text before merging (fixed value of the format).
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -113,7 +113,7 @@ class LibraryWords:
             first, second = pre["pretokenizers"]
             if first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and byte_level.items() <= second.items() and not second["use_regex"]:
                 self.split, self.lower = regex.compile(first["pattern"]["Regex"]).findall, True
-        self.pieces = Memory(self._piece)
+        self.pieces = Memory(self._piece, REMEMBERED_WORDS // 4)  # of words that are not plain letters
         self.words = Memory(self._lower_word if self.lower else self._spaced_word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
