@@ -7,11 +7,11 @@ the remaining tokens, which the template then leaves open (so at least about thr
 quarters of the tokens agree).  A template is thus a key, not a cluster that someone has
 to hold: one key for the exact line and, for lines long enough, one for each stretch.
 
-Copies are not recurrence: they are left whole for near-duplicate removal.  Documents of
-one text count once, and documents that share the least hash of their word shingles, as
-near copies mostly do, count as one origin.  A template recurs if it has
-``min_documents`` origins or more, and at least one for each ``TEXTS_PER_ORIGIN`` texts.  Its lines
-are dropped everywhere but in the document of the least identifier (and its exact copies).
+Copies are not recurrence: they are left whole for near-duplicate removal.  Documents
+that verified near-duplicate links connect (``neardup``) are one origin, whatever passages
+unlike documents share.  A template recurs if it has ``min_documents`` origins or more.
+Its lines are dropped everywhere but in the document of the least identifier (and its
+exact copies).
 
 Lines of fewer than ``min_tokens`` tokens or ``min_bytes`` bytes, which recur by chance,
 are never dropped.  Null text has no lines and
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairsmith.llm import _vec
+from pairsmith.llm import _vec, neardup
 from pairsmith.sources import interim
 
 MIN_DOCUMENTS = 3
@@ -38,21 +38,17 @@ MIN_BYTES = 20
 DEPTH = 3
 STRETCHES = 4
 OPEN_TOKENS = 12
-#: Words in a shingle of the hash that tells origins apart, and how many texts an origin may stand for on average.
-SHINGLE = 5
-TEXTS_PER_ORIGIN = 3
 _FIELD = np.uint64(0x5EED)
 
 
 def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """(key of the document, class of its text, its origin, line, leaf, template keys) of the lines long enough."""
+    """(key of the document, class of its text, line, leaf, template keys) of the lines long enough."""
     for batch, data, at in _vec.steps(batches, text=2):
         breaks = np.flatnonzero(data == 10) + 1
         line_start = np.unique(np.concatenate([at[:-1], breaks[breaks < len(data)]])) if len(data) else np.zeros(0, np.int64)
         start, end = _vec.word_ranges(data, at)
         digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
         h = _vec.range_hash(_vec.prefix_sums(data), start, end)
-        origin = _origins(h, np.searchsorted(start, at))
         h[digits[end] > digits[start]] = _FIELD
         first = np.searchsorted(start, line_start)
         n = np.diff(np.append(first, len(start)))
@@ -82,42 +78,26 @@ def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes:
         rows = _vec.signed(keys).tolist()
         take = pa.array(doc)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(_vec.signed(origin[doc])), pa.array(line.astype(np.int32)), pa.array(_vec.signed(leaf)), pa.array([r if m else r[:1] for r, m in zip(rows, many, strict=True)], pa.list_(pa.int64()))],
-            names=["doc", "class", "origin", "line", "leaf", "keys"],
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(line.astype(np.int32)), pa.array(_vec.signed(leaf)), pa.array([r if m else r[:1] for r, m in zip(rows, many, strict=True)], pa.list_(pa.int64()))],
+            names=["doc", "class", "line", "leaf", "keys"],
         )
 
 
-def _origins(words: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each document the least hash of its word shingles; first: where each document's words begin, and the end."""
-    sums, n = _vec.prefix_sums(words), np.diff(first)
-    out = np.zeros(len(n), dtype=np.uint64)
-    begin = np.arange(len(words))
-    owner = np.repeat(np.arange(len(n)), n)
-    full = begin + SHINGLE <= first[owner + 1]
-    short = (n[owner] < SHINGLE) & (begin == first[owner])
-    use = np.flatnonzero(full | short)
-    if len(use):
-        h = _vec.range_hash(sums, use, np.minimum(use + SHINGLE, first[owner[use] + 1]))
-        cut = np.flatnonzero(np.diff(owner[use], prepend=-1))
-        out[owner[use][cut]] = np.minimum.reduceat(h, cut)
-    return out
-
-
 def recurring_lines(df: DataFrame, text: str = "text", id: str = "doc_id", min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(doc struct, drop array<int>): the lines to drop, counted from 0, of the documents that have any."""
+    origins = neardup.text_components(df, text, id).select(F.col("h").alias("class"), F.col("component").alias("origin"))
     doc = F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("h"))
     rows = df.select(doc.alias("doc"), F.xxhash64(text).alias("class"), F.col(text).alias("t"))
     kind = rows.schema["doc"].dataType.simpleString()
-    lines = interim.stored(rows.mapInArrow(lambda b: _keyed_lines(b, min_tokens, min_bytes), f"doc {kind}, class long, origin long, line int, leaf long, keys array<long>"), "lines")
+    lines = interim.stored(rows.mapInArrow(lambda b: _keyed_lines(b, min_tokens, min_bytes), f"doc {kind}, class long, line int, leaf long, keys array<long>"), "lines")
     # most leaves hold lines of one text only; min and max tell, whatever the leaf's size
     leaves = lines.groupBy("leaf").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("leaf")
     leaves = interim.stored(leaves, "leaves")
-    keyed = interim.stored(lines.join(leaves.hint("merge"), "leaf", "left_semi").select("doc", "class", "origin", "line", F.explode("keys").alias("key")), "template-keys")
+    keyed = interim.stored(lines.join(leaves.hint("merge"), "leaf", "left_semi").select("doc", "class", "line", F.explode("keys").alias("key")), "template-keys")
     # one row for each key and text, then for each key and origin: a key of many copies shrinks before it is counted
-    texts = keyed.groupBy("key", "origin", "class").agg(F.min("doc").alias("doc"))
-    origins = texts.groupBy("key", "origin").agg(F.count("*").alias("n"), F.min(F.struct("doc", "class")).alias("first"))
-    counted = origins.groupBy("key").agg(F.sum("n").alias("texts"), F.count("*").alias("origins"), F.min("first").alias("first"))
-    recurring = (F.col("origins") >= min_documents) & (F.col("origins") * TEXTS_PER_ORIGIN >= F.col("texts"))
+    texts = keyed.groupBy("key", "class").agg(F.min("doc").alias("doc")).join(origins.hint("merge"), "class")
+    counted = texts.groupBy("key", "origin").agg(F.min(F.struct("doc", "class")).alias("first")).groupBy("key").agg(F.count("*").alias("origins"), F.min("first").alias("first"))
+    recurring = F.col("origins") >= min_documents
     templates = interim.stored(counted.filter(recurring).select("key", F.col("first.class").alias("first")), "templates")
     dropped = keyed.join(templates.hint("merge"), "key").filter(F.col("class") != F.col("first"))
     return dropped.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("drop"))

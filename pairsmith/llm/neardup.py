@@ -114,7 +114,28 @@ def near_duplicates(
     return interim.settled(df.sparkSession, lambda: _near_duplicates(df, text, id, words, similarity, depth_for(similarity, recall, trees), trees, block_classes, block_shingles), "near-duplicates")
 
 
+def text_components(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(h, component) for every text with words: the hash of the text and of the documents connected to it by links."""
+
+    def make() -> DataFrame:
+        signed, facts = _class_facts(df, text, id, WORDS, SIMILARITY, depth_for(SIMILARITY, RECALL), TREES, BLOCK_CLASSES, BLOCK_SHINGLES)
+        # equal texts are of one class: copies go before the join
+        return signed.filter("class IS NOT NULL").groupBy(F.col("doc.h").alias("h")).agg(F.min("class").alias("class")).join(facts.select("class", "component"), "class").select("h", "component")
+
+    return interim.settled(df.sparkSession, make, "text-components")
+
+
 def _near_duplicates(df: DataFrame, text: str, id: str, words: int, similarity: float, depth: int, trees: int, block_classes: int, block_shingles: int) -> DataFrame:
+    signed, facts = _class_facts(df, text, id, words, similarity, depth, trees, block_classes, block_shingles)
+    least = facts.groupBy("component").agg(F.min("rep_id").alias("class_id"))
+    facts = facts.join(least, "component").select("class", "rep_id", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    found = signed.select("doc", "class").join(facts, "class").drop("class")
+    none = signed.filter("class IS NULL").select("doc", F.col("doc.id").alias("rep_id"), F.col("doc.id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.unionByName(none)
+
+
+def _class_facts(df: DataFrame, text: str, id: str, words: int, similarity: float, depth: int, trees: int, block_classes: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and for each class its size, least identifier, links and component."""
     doc = F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("h"))
     rows = df.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = rows.schema["doc"].dataType.simpleString()
@@ -147,12 +168,7 @@ def _near_duplicates(df: DataFrame, text: str, id: str, words: int, similarity:
     linked = verified.groupBy("class").agg(F.sum("links").alias("links"))
     joined = connected_components(verified, "class", "root")
     facts = classes.select("class", "size", F.col("rep.id").alias("rep_id")).join(joined.select(F.col("node").alias("class"), "component"), "class", "left").join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    facts = interim.stored(facts, "class-facts")
-    least = facts.groupBy("component").agg(F.min("rep_id").alias("class_id"))
-    facts = facts.join(least, "component").select("class", "rep_id", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    found = signed.select("doc", "class").join(facts, "class").drop("class")
-    none = signed.filter("class IS NULL").select("doc", F.col("doc.id").alias("rep_id"), F.col("doc.id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return found.unionByName(none)
+    return signed, interim.stored(facts, "class-facts")
 
 
 def _verifier(words: int, similarity: float):

@@ -406,6 +406,14 @@ def test_lines_of_the_table(spark, sf, texts):
     assert {r.doc_id: r.n_dropped for r in queries.op7_lines(spark, sf).collect()} == {i: len(d) for i, d in expected.items()}
 
 
+def test_lines_of_a_passage_in_unlike_documents(spark):
+    """The least shingle of most of these lies in the passage; they are unlike and each an origin."""
+    passage = prose(4000, 60)
+    rows = [(i, prose(4001 + i, 25) + "\n" + passage) for i in range(40)]
+    got = {r.row.doc_id: r.n_dropped for r in lines.without_recurring_lines(documents(spark, [t for _, t in rows])).collect()}
+    assert got == {i: int(i > 0) for i in range(40)}
+
+
 # 8: nearest neighbours
 
 
