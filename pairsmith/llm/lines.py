@@ -13,8 +13,11 @@ unlike documents share.  A template recurs if it has ``min_documents`` origins o
 Its lines are dropped everywhere but in the document of the least identifier (and its
 exact copies).
 
-Lines of fewer than ``min_tokens`` tokens or ``min_bytes`` bytes, which recur by chance,
-are never dropped.  Null text has no lines and
+Lines of fewer than ``min_bytes`` bytes recur by chance: a template that has only such
+lines needs ``SHORT_DOCUMENTS`` origins for each ``min_documents`` of others.  Length is in
+bytes, so lines of scripts without spaces count as others do.  A line of fewer than
+``min_tokens`` tokens or ``min_bytes`` bytes counts if it has a letter (or any non-ASCII
+character); one without, such as a brace or a number, is never dropped.  Null text has no lines and
 stays null.  Repeated rows are copies of one document.  An empty table gives an empty
 table.  Other columns travel in a struct and cannot clash.
 """
@@ -34,6 +37,8 @@ from pairsmith.sources import interim
 MIN_DOCUMENTS = 3
 MIN_TOKENS = 3
 MIN_BYTES = 20
+#: Origins that lines shorter than MIN_BYTES need, where others need MIN_DOCUMENTS.
+SHORT_DOCUMENTS = 10
 #: Leading tokens that choose a leaf, stretches of the rest, and the least tokens of a line with open stretches.
 DEPTH = 3
 STRETCHES = 4
@@ -42,11 +47,12 @@ _FIELD = np.uint64(0x5EED)
 
 
 def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes: int) -> Iterator[pa.RecordBatch]:
-    """(key of the document, class of its text, line, leaf, template keys) of the lines long enough."""
+    """(key of the document, class of its text, line, whether it is short, leaf, template keys) of the lines that count."""
     for batch, data, at in _vec.steps(batches, text=2):
         breaks = np.flatnonzero(data == 10) + 1
         line_start = np.unique(np.concatenate([at[:-1], breaks[breaks < len(data)]])) if len(data) else np.zeros(0, np.int64)
         start, end = _vec.word_ranges(data, at)
+        letters = np.concatenate([[0], np.cumsum(((data | 0x20) >= 97) & ((data | 0x20) <= 122) | (data >= 128))])
         digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
         h = _vec.range_hash(_vec.prefix_sums(data), start, end)
         h[digits[end] > digits[start]] = _FIELD
@@ -54,12 +60,13 @@ def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes:
         n = np.diff(np.append(first, len(start)))
         last = first + n - 1
         width = np.where(n > 0, end[last.clip(0)] - start[first.clip(max=max(0, len(start) - 1))], 0) if len(start) else n
-        chosen = np.flatnonzero((n >= max(1, min_tokens)) & (width >= min_bytes))
+        worded = letters[np.append(line_start[1:], len(data))] > letters[line_start]
+        chosen = np.flatnonzero((n >= 1) & (worded | (n >= min_tokens) & (width >= min_bytes)))
         if not len(chosen):
             continue
         first, n = first[chosen], n[chosen]
         sums = _vec.prefix_sums(h)
-        lead = min(DEPTH, min_tokens)
+        lead = np.minimum(n, min(DEPTH, max(1, min_tokens)))
         leaf = _vec.mix(_vec.range_hash(sums, first, first + lead) + n.astype(np.uint64))
         cuts = [first + lead + (n - lead) * k // STRETCHES for k in range(STRETCHES + 1)]
         part = [_vec.range_hash(sums, cuts[k], cuts[k + 1]) for k in range(STRETCHES)]
@@ -78,8 +85,8 @@ def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes:
         rows = _vec.signed(keys).tolist()
         take = pa.array(doc)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(line.astype(np.int32)), pa.array(_vec.signed(leaf)), pa.array([r if m else r[:1] for r, m in zip(rows, many, strict=True)], pa.list_(pa.int64()))],
-            names=["doc", "class", "line", "leaf", "keys"],
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(line.astype(np.int32)), pa.array(width[chosen] < min_bytes), pa.array(_vec.signed(leaf)), pa.array([r if m else r[:1] for r, m in zip(rows, many, strict=True)], pa.list_(pa.int64()))],
+            names=["doc", "class", "line", "short", "leaf", "keys"],
         )
 
 
@@ -89,15 +96,16 @@ def recurring_lines(df: DataFrame, text: str = "text", id: str = "doc_id", min_d
     doc = F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("h"))
     rows = df.select(doc.alias("doc"), F.xxhash64(text).alias("class"), F.col(text).alias("t"))
     kind = rows.schema["doc"].dataType.simpleString()
-    lines = interim.stored(rows.mapInArrow(lambda b: _keyed_lines(b, min_tokens, min_bytes), f"doc {kind}, class long, line int, leaf long, keys array<long>"), "lines")
+    lines = interim.stored(rows.mapInArrow(lambda b: _keyed_lines(b, min_tokens, min_bytes), f"doc {kind}, class long, line int, short boolean, leaf long, keys array<long>"), "lines")
     # most leaves hold lines of one text only; min and max tell, whatever the leaf's size
     leaves = lines.groupBy("leaf").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("leaf")
     leaves = interim.stored(leaves, "leaves")
-    keyed = interim.stored(lines.join(leaves.hint("merge"), "leaf", "left_semi").select("doc", "class", "line", F.explode("keys").alias("key")), "template-keys")
+    keyed = interim.stored(lines.join(leaves.hint("merge"), "leaf", "left_semi").select("doc", "class", "line", "short", F.explode("keys").alias("key")), "template-keys")
     # one row for each key and text, then for each key and origin: a key of many copies shrinks before it is counted
-    texts = keyed.groupBy("key", "class").agg(F.min("doc").alias("doc")).join(origins.hint("merge"), "class")
-    counted = texts.groupBy("key", "origin").agg(F.min(F.struct("doc", "class")).alias("first")).groupBy("key").agg(F.count("*").alias("origins"), F.min("first").alias("first"))
-    recurring = F.col("origins") >= min_documents
+    texts = keyed.groupBy("key", "class").agg(F.min("doc").alias("doc"), F.min("short").alias("short")).join(origins.hint("merge"), "class")
+    counted = texts.groupBy("key", "origin").agg(F.min(F.struct("doc", "class")).alias("first"), F.min("short").alias("short")).groupBy("key").agg(F.count("*").alias("origins"), F.min("first").alias("first"), F.min("short").alias("short"))
+    # a template is short if all its lines are
+    recurring = F.col("origins") >= F.when(F.col("short"), -(-min_documents * SHORT_DOCUMENTS // MIN_DOCUMENTS)).otherwise(min_documents)
     templates = interim.stored(counted.filter(recurring).select("key", F.col("first.class").alias("first")), "templates")
     dropped = keyed.join(templates.hint("merge"), "key").filter(F.col("class") != F.col("first"))
     return dropped.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("drop"))

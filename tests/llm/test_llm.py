@@ -414,6 +414,14 @@ def test_lines_of_a_passage_in_unlike_documents(spark):
     assert got == {i: int(i > 0) for i in range(40)}
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    rows = [(i, "\n".join([prose(5000 + i, 12), "Read more", "}", "7", "转载请注明出处谢谢合作" if i < 3 else prose(5100 + i, 8), "Ah so" if i < 9 else prose(5200 + i, 8)])) for i in range(12)]
+    got = {r.row.doc_id: r.t for r in lines.without_recurring_lines(documents(spark, [t for _, t in rows])).collect()}
+    for i, t in rows:
+        gone = {"Read more", "转载请注明出处谢谢合作"} if i else set()  # in 12 and in 3 documents; "Ah so" in 9 is too few
+        assert got[i] == "\n".join(x for x in t.split("\n") if x not in gone)
+
+
 # 8: nearest neighbours
 
 
