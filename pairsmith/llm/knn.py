@@ -14,7 +14,8 @@ each pair of blocks is one matrix product.
 Vectors that are null, or hold null or non-finite components, take no part; nor does a
 pair of different dimensions.  Ties go to the smaller identifier.  Null identifiers take
 no part.  Repeated rows of one identifier count each; a query ignores all rows of its own
-identifier.  Components scaled to integers must give scores below 2**53.
+identifier.  Equal query rows are scored once and their results repeated as often as there
+are rows, among which the k best are chosen.  Components scaled to integers must give scores below 2**53.
 """
 
 from __future__ import annotations
@@ -87,7 +88,8 @@ def _top_k(df: DataFrame, vector: str, id: str, k: int, every: int, scale: float
         return F.element_at(F.create_map(*(F.lit(x) for (d, c), n in values.items() for x in (d * 1_000_000 + c, n))), F.col("dim") * 1_000_000 + F.col("cell"))
 
     data = data.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), counts_of(blocks)).cast("int"))
-    queries = data.filter(F.col("id") % every == 0).withColumn("group", (counts_of(first_group) + F.pmod(F.xxhash64("id", F.lit(2)), counts_of(groups))).cast("int"))
+    distinct = data.filter(F.col("id") % every == 0).groupBy("id", "v", "dim", "cell").agg(F.count("*").alias("copies")).withColumn("row", F.xxhash64("id", "v"))
+    queries = interim.stored(distinct.withColumn("group", (counts_of(first_group) + F.pmod(F.xxhash64("row", F.lit(2)), counts_of(groups))).cast("int")), "queries")
     by_dim = {d: sorted((r for r in summary if r.dim == d), key=lambda r: r.cell) for d in {r.dim for r in summary}}
 
     def bounds(rows: list, dim: int) -> tuple[np.ndarray, np.ndarray, list[int], np.ndarray]:
@@ -120,15 +122,15 @@ def _top_k(df: DataFrame, vector: str, id: str, k: int, every: int, scale: float
                             out_id.append(i)
                             out_cell.append(names[c])
             take = pa.array(out_id, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(5).take(take), pa.array(out_cell, pa.int32())], names=["id", "dim", "group", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(5).take(take), pa.array(out_cell, pa.int32()), batch.column(6).take(take)], names=["id", "dim", "group", "cell", "row"])
 
     most = data.groupBy("id").count().agg(F.max("count")).first()[0]
     repeats = max(0, (most or 1) - 1)
-    own = queries.select("id", "dim", "group", "cell")
+    own = queries.select("id", "dim", "group", "cell", "row")
     first = interim.stored(_searched(data, queries, own, blocks, k, counts_of), "first-scores")
     floors = _best(first, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    known = queries.join(floors, queries.id == floors.query_id, "left").select("id", "v", "dim", "cell", F.col("floor").cast("double").alias("floor"), "group")
-    more = known.mapInArrow(needed, "id long, dim int, `group` int, cell int")
+    known = queries.join(floors, queries.id == floors.query_id, "left").select("id", "v", "dim", "cell", F.col("floor").cast("double").alias("floor"), "group", "row")
+    more = known.mapInArrow(needed, "id long, dim int, `group` int, cell int, row long")
     second = _searched(data, queries, interim.stored(more, "needed-cells"), blocks, k, counts_of)
     return _best(first.unionByName(second), k)
 
@@ -147,7 +149,7 @@ def _query_groups(summary: list, query_rows: int) -> tuple[dict, dict]:
 
 
 def _searched(data: DataFrame, queries: DataFrame, pairs: DataFrame, blocks: dict, k: int, counts_of) -> DataFrame:
-    """The k best of each (query, data block) among the pairs (query id, its group; cell)."""
+    """The k best of each (distinct query row, data block) among the pairs (query id, its row and group; cell)."""
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -163,21 +165,22 @@ def _searched(data: DataFrame, queries: DataFrame, pairs: DataFrame, blocks: dic
                     floor = np.partition(scores, full - k, axis=1)[:, full - k]
                 else:
                     floor = np.full(len(part), -np.inf)
-                for q, row, f in zip(part["id"], scores, floor, strict=True):
+                for q, copies, row, f in zip(part["id"], part["copies"], scores, floor, strict=True):
                     hits = np.flatnonzero((row >= f) & (row > -np.inf))
                     hits = hits[np.argsort(-row[hits], kind="stable")][:k]
-                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[hits], "score": row[hits].astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+                    out.append(pd.DataFrame({"query_id": q, "vec_id": ids[hits], "score": row[hits].astype(np.int64), "copies": copies}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "copies": []}).astype("int64")
 
-    places = pairs.select("id", "dim", "group", "cell", F.explode(F.sequence(F.lit(0), counts_of(blocks) - 1)).alias("block"))
+    places = pairs.select("id", "dim", "group", "cell", "row", F.explode(F.sequence(F.lit(0), counts_of(blocks) - 1)).alias("block"))
     tasks = places.select("dim", "group", "cell", "block").distinct()
     key = ["dim", "cell", "block", "group"]
     renewed = [F.col(c).alias(c) for c in (*key, "id", "v")]  # columns of their own for either side
     left = data.join(tasks, ["dim", "cell", "block"]).select(*renewed)
-    right = places.join(queries.select("id", "v"), "id").select(*renewed)
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(solve, "query_id long, vec_id long, score long")
+    right = places.join(queries.select("id", "row", "v", "copies"), ["id", "row"]).select(*renewed, F.col("copies").alias("copies"))
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(solve, "query_id long, vec_id long, score long, copies long")
 
 
 def _best(scores: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scores.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    repeated = scores.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)))))
+    return repeated.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

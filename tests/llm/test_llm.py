@@ -438,6 +438,21 @@ def test_top_k(spark):
     assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in rows} == expected
 
 
+def test_top_k_of_repeated_rows(spark):
+    """OP8_SQL's semantics: each pair of a query row and another identifier's row is a row to rank."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(0, 0.3, 6).tolist()) for i in range(120)]
+    rows += [rows[0]] + [rows[20]] * 7 + [(40, rng.normal(0, 0.3, 6).tolist()) for _ in range(3)] + [rows[7]] * 2
+    v = [(i, np.floor(256 * np.array(x, np.float32).astype(float))) for i, x in rows]
+    scored = defaultdict(list)
+    for q, x in v:
+        if q % 20 == 0:
+            scored[q] += [(-int(x @ y), c) for c, y in v if c != q]
+    expected = sorted((q, r + 1, c, -s) for q, found in scored.items() for r, (s, c) in enumerate(sorted(found)[:5]))
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=20, pivots=6, block_rows=16, query_rows=2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == expected
+
+
 # 9: quality
 
 
