@@ -4,7 +4,9 @@ A line goes down a tree of fixed depth: by its number of tokens, then by its lea
 tokens, where a token with a digit counts as a variable field.  In a leaf, lines belong
 to one template if they agree everywhere, or everywhere but in one of four stretches of
 the remaining tokens, which the template then leaves open (so at least about three
-quarters of the tokens agree).  A template is thus a key, not a cluster that someone has
+quarters of the tokens agree).  A template needs a constant token for each
+``TOKENS_PER_CONSTANT`` tokens; lines with fewer, such as rows of numbers, count as they
+are, so that distinct data are never one template.  A template is thus a key, not a cluster that someone has
 to hold: one key for the exact line and, for lines long enough, one for each stretch.
 
 Copies are not recurrence: they are left whole for near-duplicate removal.  Documents
@@ -43,6 +45,8 @@ SHORT_DOCUMENTS = 10
 DEPTH = 3
 STRETCHES = 4
 OPEN_TOKENS = 12
+#: Tokens of a template for each constant one at most.
+TOKENS_PER_CONSTANT = 3
 _FIELD = np.uint64(0x5EED)
 
 
@@ -55,7 +59,10 @@ def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes:
         letters = np.concatenate([[0], np.cumsum(((data | 0x20) >= 97) & ((data | 0x20) <= 122) | (data >= 128))])
         digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
         h = _vec.range_hash(_vec.prefix_sums(data), start, end)
-        h[digits[end] > digits[start]] = _FIELD
+        is_field = digits[end] > digits[start]
+        exact = _vec.prefix_sums(h)
+        h[is_field] = _FIELD
+        constants = np.concatenate([[0], np.cumsum(~is_field)])
         first = np.searchsorted(start, line_start)
         n = np.diff(np.append(first, len(start)))
         last = first + n - 1
@@ -67,9 +74,15 @@ def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes:
         first, n = first[chosen], n[chosen]
         sums = _vec.prefix_sums(h)
         lead = np.minimum(n, min(DEPTH, max(1, min_tokens)))
-        leaf = _vec.mix(_vec.range_hash(sums, first, first + lead) + n.astype(np.uint64))
+        constant = constants[first + n] - constants[first]
+        generic = constant * TOKENS_PER_CONSTANT >= n
+
+        def tokens(begin: np.ndarray, stop: np.ndarray, generic=generic, sums=sums, exact=exact) -> np.ndarray:
+            return np.where(generic, _vec.range_hash(sums, begin, stop), _vec.range_hash(exact, begin, stop))
+
+        leaf = _vec.mix(tokens(first, first + lead) + n.astype(np.uint64))
         cuts = [first + lead + (n - lead) * k // STRETCHES for k in range(STRETCHES + 1)]
-        part = [_vec.range_hash(sums, cuts[k], cuts[k + 1]) for k in range(STRETCHES)]
+        part = [tokens(cuts[k], cuts[k + 1]) for k in range(STRETCHES)]
 
         def key(open_part: int, leaf=leaf, part=part) -> np.ndarray:
             out = leaf + np.uint64(open_part + 1)
@@ -81,11 +94,12 @@ def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes:
         keys = np.stack([key(k) for k in range(-1, STRETCHES)], axis=1)
         doc = np.searchsorted(at[1:], line_start[chosen], side="right")
         line = chosen - np.searchsorted(line_start, at)[doc]
-        many = (n >= OPEN_TOKENS).tolist()
-        rows = _vec.signed(keys).tolist()
+        open_left = [constant - constants[cuts[k + 1]] + constants[cuts[k]] for k in range(STRETCHES)]
+        use = np.stack([np.ones(len(n), bool), *((n >= OPEN_TOKENS) & (c * TOKENS_PER_CONSTANT >= n) for c in open_left)], axis=1)
+        offsets = np.concatenate([[0], np.cumsum(use.sum(axis=1))]).astype(np.int32)
         take = pa.array(doc)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), pa.array(line.astype(np.int32)), pa.array(width[chosen] < min_bytes), pa.array(_vec.signed(leaf)), pa.array([r if m else r[:1] for r, m in zip(rows, many, strict=True)], pa.list_(pa.int64()))],
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array(line.astype(np.int32)), pa.array(width[chosen] < min_bytes), pa.array(_vec.signed(leaf)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(_vec.signed(keys[use])))],
             names=["doc", "class", "line", "short", "leaf", "keys"],
         )
 

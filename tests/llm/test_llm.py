@@ -422,6 +422,12 @@ def test_short_lines_and_lines_without_spaces(spark):
         assert got[i] == "\n".join(x for x in t.split("\n") if x not in gone)
 
 
+def test_rows_of_numbers_are_no_template(spark):
+    rows = [(i, "\n".join([prose(6000 + i, 15), f"2024-01-0{i + 1} 17.{i} 1013.{i} 0.{i}5 88.{i}", "1999-12-31 10.5 1000.25 0.75 12.5", f"Printed page {i} of 12345"])) for i in range(5)]
+    got = {r.row.doc_id: r.t for r in lines.without_recurring_lines(documents(spark, [t for _, t in rows])).collect()}
+    assert got == {i: t if i == 0 else "\n".join(t.split("\n")[:2]) for i, t in rows}
+
+
 # 8: nearest neighbours
 
 
