@@ -7,7 +7,11 @@ gives each token's marginal; a document's score is a logistic function of its ma
 fitted on the same rows.  Runs of tokens outside the lexicon all take the same step, so
 they are passed by a matrix power, and the cost of a text is that of finding its tokens.
 
-Tokens are runs of ASCII letters and digits and of non-ASCII bytes, in ASCII lower case.
+Tokens are runs of Unicode letters, marks and numbers in lower case (both small sigmas are
+one; a dotted capital I is i); punctuation, spaces, controls and mathematical and currency
+signs part them.  Runs of scripts without spaces give overlapping n-grams of characters:
+pairs for Han and kana, fours for Thai, Lao, Khmer and Myanmar.  A pictograph (or another
+character of no known kind) is a token of its own.
 Null and empty texts have no tokens and get the score of no evidence.  Rows with a null
 identifier are scored and count as held out.  Repeated rows get equal scores.  Without
 any labelled row of both classes every score is the share of toxic rows (0 if none).
@@ -15,7 +19,9 @@ any labelled row of both classes every score is the share of toxic rows (0 if no
 
 from __future__ import annotations
 
+import functools
 import math
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,8 +38,46 @@ LEXICON_TOKENS = 2_000
 #: Tokens on either side of a lexicon token in a training sequence.
 CONTEXT = 8
 
-_TOKEN = np.zeros(256, bool)
-_TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Kinds of characters: separators, those of words, of two groups of scripts without spaces, and single symbols.
+WORD, PAIRS, FOURS, SINGLE = 1, 2, 3, 4
+#: Characters in a token of each kind; 0: the whole run.
+_GRAM = np.array([0, 0, 2, 4, 1])
+_PAIRED = ((0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C), (0x3041, 0x30FF), (0x3100, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
+_FOURED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F))
+
+
+@functools.cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """The kind and the lower case of every code point."""
+    names = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    of = {c: WORD if c[0] in "LMN" else SINGLE if c in ("So", "Sk", "Co", "Cn") else 0 for c in set(names)}
+    kind = np.array([of[c] for c in names], dtype=np.uint8)
+    kind[:128][kind[:128] == SINGLE] = 0
+    for ranges, which in ((_PAIRED, PAIRS), (_FOURED, FOURS)):
+        for first, last in ranges:
+            kind[first : last + 1][kind[first : last + 1] == WORD] = which
+    lower = np.arange(0x110000, dtype=np.uint32)
+    for c, name in enumerate(names):
+        if name[0] in "LMNS" and (low := chr(c).lower()) != chr(c):
+            lower[c] = ord(low[0])  # only the dotted capital I has two
+    lower[ord("ς")] = ord("σ")
+    return kind, lower
+
+
+def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the characters of UTF-8 bytes begin, and their code points."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    points = data[at].astype(np.uint32)
+    wide = np.flatnonzero(points >= 0xC0)
+    if len(wide):
+        head = points[wide]
+        more = 1 + (head >= 0xE0).astype(np.int64) + (head >= 0xF0)
+        value = head & (np.uint32(0x3F) >> more.astype(np.uint32))
+        for k in range(1, 4):
+            use = more >= k
+            value[use] = (value[use] << np.uint32(6)) | (data[(at[wide[use]] + k).clip(max=len(data) - 1)] & 0x3F)
+        points[wide] = value.clip(max=0x10FFFF)
+    return at, points
 
 
 def held_out(id: Column) -> Column:
@@ -43,14 +87,24 @@ def held_out(id: Column) -> Column:
 
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and hashes of the tokens of a batch."""
-    inside = _TOKEN[data]
-    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    edge = at[1:-1]
-    before[edge[edge < len(data)]] = False
-    after[edge[edge > 0] - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return start, end, _vec.range_hash(_vec.prefix_sums(_vec.lower_ascii(data)), start, end)
+    where, points = _code_points(data)
+    kinds, lower = _characters()
+    kind = kinds[points]
+    new = np.ones(len(points), bool)
+    new[1:] = kind[1:] != kind[:-1]
+    edge = np.searchsorted(where, at[1:-1])
+    new[edge[edge < len(points)]] = True
+    begin = np.flatnonzero(new)
+    stop = np.append(begin[1:], len(points)) if len(begin) else begin
+    run = kind[begin] > 0
+    begin, stop = begin[run], stop[run]
+    gram = _GRAM[kind[begin]]
+    count = np.where(gram > 0, (stop - begin - gram + 1).clip(min=1), 1)
+    gram, stop = np.repeat(gram, count), np.repeat(stop, count)
+    first = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(stop))
+    last = np.where(gram > 0, np.minimum(first + gram, stop), stop)
+    bytes_at = np.append(where, len(data))
+    return bytes_at[first], bytes_at[last], _vec.range_hash(_vec.prefix_sums(lower[points]), first, last)
 
 
 @dataclass

@@ -525,6 +525,24 @@ def test_toxicity(spark):
     assert [(s.start, s.end) for s in rows[602].spans] == [(21, 26)]
 
 
+def test_toxic_words_beside_unicode_punctuation_and_without_spaces(spark):
+    rng = random.Random(9)
+    df, labels, y = toxic_corpus(spark)
+    rows = [(r.doc_id, r.text) for r in df.collect() if r.doc_id < 600]
+    for i in range(600, 1200):  # clauses without spaces
+        clause = [chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(40)]
+        y.append(int(i % 5 == 0))
+        clause[20:20] = ["笨蛋"] if y[i] else []
+        rows.append((i, "".join(clause) + "。"))
+    rows = [(i, t + " ÉCUME" if y[i] and i < 600 else t) for i, t in rows]
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    odd = ["you “moron” there", "a moron… no", "quel\u00a0moron\u00a0!", "une écume, là", "你是笨蛋！", "他说“笨蛋”。"]
+    model = toxicity.learn(documents(spark, [t for _, t in rows], [i for i, _ in rows]), labels)
+    got = {r.doc_id: r for r in toxicity.score(documents(spark, [*odd, "“more” … là"]), model).collect()}
+    found = [{odd[i][s.start : s.end].lower() for s in got[i].spans} for i in range(len(odd))]
+    assert all(w in f for w, f in zip(["moron"] * 3 + ["écume"] + ["笨蛋"] * 2, found, strict=True)) and not got[len(odd)].spans
+
+
 def test_marginals_are_those_of_every_labelling():
     rng = np.random.default_rng(3)
     model = toxicity.Model(np.arange(3, dtype=np.uint64), rng.normal(0, 2, 3), -1.0, rng.normal(0, 1, (2, 2)), np.zeros(4))
