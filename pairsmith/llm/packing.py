@@ -50,31 +50,27 @@ def place(lengths: list[int], capacity: int = 4096, linear: float = 1.0, quadrat
         rooms.append(1 << (tail.bit_length() - 1))
         tail -= rooms[-1]
     used = [0] * len(rooms)
-    heap = [(0.0, s) for s in range(len(rooms))]
+    # lengths only fall, so a sequence with room enough keeps it until it is chosen
+    roomy: list[tuple[float, int]] = []  # cost, sequence
+    narrow = [(-room, 0.0, s) for s, room in enumerate(rooms)]  # by falling room, then cost
+    heapq.heapify(narrow)
     todo = [(-n, d, start) for n, d, start in rest]
     heapq.heapify(todo)
     while todo:
         n, d, start = heapq.heappop(todo)
         n = -n
-        aside = []
-        chosen = None
-        while heap:
-            cost, s = heapq.heappop(heap)
-            if rooms[s] - used[s] >= n:
-                chosen = (cost, s)
-                break
-            aside.append((cost, s))
-        if chosen is None:  # cut at the largest room; the rest of the document waits for its turn
-            chosen = max(aside, key=lambda x: (rooms[x[1]] - used[x[1]], -x[0], -x[1]))
-            aside.remove(chosen)
-        for x in aside:
-            heapq.heappush(heap, x)
-        cost, s = chosen
+        while narrow and -narrow[0][0] >= n:
+            _, cost, s = heapq.heappop(narrow)
+            heapq.heappush(roomy, (cost, s))
+        if roomy:
+            cost, s = heapq.heappop(roomy)
+        else:  # cut at the largest room; the rest of the document waits for its turn
+            _, cost, s = heapq.heappop(narrow)
         take = min(n, rooms[s] - used[s])
         out.append((d, start, take, made + s, used[s]))
         used[s] += take
-        if used[s] < rooms[s]:
-            heapq.heappush(heap, (cost + linear * take + quadratic * take * take, s))
+        if left := rooms[s] - used[s]:
+            heapq.heappush(narrow, (-left, cost + linear * take + quadratic * take * take, s))
         if take < n:
             heapq.heappush(todo, (take - n, d, start + take))
     return out

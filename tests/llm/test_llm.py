@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,6 +129,14 @@ def test_place_balances_cost():
     assert sorted(sums.values()) == [16, 16]
 
 
+@pytest.mark.parametrize("lengths", [[3000] * 5333, [900] * 17777])
+def test_place_of_equal_lengths_is_quick(lengths):
+    began = time.process_time()
+    pieces = packing.place(lengths)
+    assert time.process_time() - began < 1
+    assert sum(n for _, _, n, _, _ in pieces) == sum(lengths)
+
+
 @pytest.mark.parametrize("group", [100, packing.GROUP_TOKENS])
 def test_packing(spark, group):
     texts = [prose(i, 40 * i) for i in range(8)] + ["", None]
