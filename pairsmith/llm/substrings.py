@@ -18,11 +18,15 @@ to stretches of starts to single starts:
 3. what is left, near the ends of repeats, is carried with its bytes: stretches of 16 starts
    are named in the same two ways, and the single strings of stretches still open.
 
-Groups of copies only add to counts: nothing is collected or paired within a group.
-
-Null and short texts lose nothing.  Repeated rows are occurrences of their own: both
-lose what they share.  Rows are told apart by identifier and text, so repeated or null
-identifiers are no harm.  An empty table gives an empty table.
+Cores are found by 64-bit names, which only choose what is compared; content counts as
+equal by 128-bit names.  Groups of copies only add to counts: nothing is collected or
+paired within a group.
+
+Null and short texts lose nothing.  A text of any length is one step of the parse, in
+memory of about 100 bytes for each of its bytes.  Repeated rows are occurrences of their
+own: both lose what they share.  Rows are told apart by identifier and 128 bits of their
+text; rows alike in both are copies and lose the same, so repeated or null identifiers
+are no harm.  An empty table gives an empty table.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairsmith.llm import _vec
@@ -88,10 +92,26 @@ def _core(trigger: int, low: int, high: int, length: int) -> tuple[int, int]:
     return trigger - low, trigger - high + length
 
 
-def _name(view: memoryview, a: int, b: int, seed: int) -> int:
+def _filter_name(view: memoryview, a: int, b: int, seed: int) -> int:
+    """64 bits: equal content has equal names; others seldom, which costs work and no result."""
     return xxhash.xxh3_64_intdigest(view[a:b], seed=seed) - (1 << 63)
 
 
+def _name(view: memoryview, a: int, b: int, seed: int) -> bytes:
+    """128 bits, by which content counts as equal."""
+    return xxhash.xxh3_128_digest(view[a:b], seed=seed)
+
+
+def _halved(names: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    """128-bit names as two columns of 64."""
+    both = np.frombuffer(b"".join(names), dtype=np.int64)
+    return pa.array(both[::2]), pa.array(both[1::2])
+
+
+_NAMED = ["doc", "core", "whole", "whole2", "piece", "place"]
+_WHOLE = ["core", "whole", "whole2"]
+
+
 def _phrases(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     width = _half_width(length)
     for batch, data, at in _vec.steps(batches, text=1):
@@ -102,24 +122,24 @@ def _phrases(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         core, whole = [], []
         for f, e, t, j in zip(first.tolist(), last.tolist(), trigger.tolist(), half.tolist(), strict=True):
             low, high = j * width, min((j + 1) * width - 1, length - WORD)
-            core.append(_name(view, *_core(t, low, high, length), 2 * j))
+            core.append(_filter_name(view, *_core(t, low, high, length), 2 * j))
             # equal content at equal distances: the distances are part of the name
             whole.append(_name(view, f, e + length, (t - f) << 20 | (t - e) << 1 | 1))
         place = pa.array((first - at[doc]) << 32 | (last - first) << 16 | (trigger - first))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(doc)), pa.array(core, pa.int64()), pa.array(whole, pa.int64()), place, place],
-            names=["doc", "core", "whole", "piece", "place"],
+            [batch.column(0).take(pa.array(doc)), pa.array(core, pa.int64()), *_halved(whole), place, place],
+            names=_NAMED,
         )
 
 
-def _with_repeated(rows: DataFrame, name: str) -> DataFrame:
+def _with_repeated(rows: DataFrame, *name: str) -> DataFrame:
     """The rows whose ``name`` occurs twice or more.
 
     Counts are combined before their shuffle.  They are stored, so that the join has
     nothing but a shuffle on either side and a hot name can be split at run time.
     """
-    counts = interim.stored(rows.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name), f"repeated-{name}")
-    return rows.join(counts.hint("merge"), name, "left_semi")
+    counts = interim.stored(rows.groupBy(*name).agg(F.count("*").alias("n")).filter("n > 1").select(*name), f"repeated-{name[0]}")
+    return rows.join(counts.hint("merge"), list(name), "left_semi")
 
 
 def _settled(rows: DataFrame, length: int, step: str) -> tuple[DataFrame, DataFrame]:
@@ -131,34 +151,44 @@ def _settled(rows: DataFrame, length: int, step: str) -> tuple[DataFrame, DataFr
     """
     candidates = interim.stored(_with_repeated(rows, "core"), f"candidate-{step}")
     least = F.min(F.struct("doc", "piece", "place"))
-    classes = interim.stored(candidates.groupBy("core", "whole").agg(F.count("*").alias("n"), least.alias("one")), f"class-{step}")
-    whole = candidates.join(classes.filter("n > 1").select("core", "whole"), ["core", "whole"], "left_semi")
+    classes = interim.stored(candidates.groupBy(*_WHOLE).agg(F.count("*").alias("n"), least.alias("one")), f"class-{step}")
+    whole = candidates.join(classes.filter("n > 1").select(*_WHOLE), _WHOLE, "left_semi")
     start, span = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(0xFFFF)
     found = whole.select("doc", start.alias("a"), (start + span + length).alias("b"))
     cores = classes.groupBy("core").agg(F.count("*").alias("c"), F.min("n").alias("n")).filter("c > 1 AND n = 1").select("core")
     return found, classes.join(cores, "core", "left_semi").select("one.*")
 
 
+def _row_key(text: str) -> list[Column]:
+    """128 bits of the text; with the identifier they tell rows apart."""
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")]
+
+
+def _same_row(other: str) -> Column:
+    return F.col("id").eqNullSafe(F.col(f"{other}_id")) & (F.col("h") == F.col(f"{other}_h")) & (F.col("g") == F.col(f"{other}_g"))
+
+
 def repeated_ranges(df: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH) -> DataFrame:
     """(doc struct, ranges array<struct<a, b>>): bytes [a, b) to remove from each document that has any; unmerged."""
-    doc = F.struct(F.col(id).alias("id"), F.hash(text).alias("h"))
+    doc = F.struct(F.col(id).alias("id"), *_row_key(text))
     rows = df.select(doc.alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = rows.schema["doc"].dataType.simpleString()
-    named = f"doc {kind}, core long, whole long, piece long, place long"
+    named = f"doc {kind}, core long, whole long, whole2 long, piece long, place long"
     phrases = rows.filter(F.octet_length("t") >= length).mapInArrow(lambda b: _phrases(b, length), named)
     found, open_ = _settled(phrases, length, "phrases")
 
     # what is still open, with its bytes; a row that is there twice has no class of one row
-    wanted = open_.groupBy("doc").agg(F.collect_list("place").alias("places")).select(F.col("doc.id").alias("open_id"), F.col("doc.h").alias("open_h"), "places")
-    texts = rows.select(F.col("doc.id").alias("id"), F.col("doc.h").alias("h"), "t")
-    joined = texts.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("open_id")) & (F.col("h") == F.col("open_h"))).select(F.struct("id", "h").alias("doc"), "t", "places")
+    wanted = open_.groupBy("doc").agg(F.collect_set("place").alias("places")).select(F.col("doc.id").alias("open_id"), F.col("doc.h").alias("open_h"), F.col("doc.g").alias("open_g"), "places")
+    texts = rows.select("doc.*", "t")
+    joined = texts.join(wanted.hint("merge"), _same_row("open")).select(F.struct("id", "h", "g").alias("doc"), "t", "places")
     pieces = interim.stored(joined.mapInArrow(lambda b: _pieces(b, length), f"doc {kind}, piece long, bytes binary"), "open-phrases")
     more, open_ = _settled(pieces.mapInArrow(lambda b: _stretches(b, length), named), length, "stretches")
-    lists = open_.groupBy("doc", "piece").agg(F.collect_list("place").alias("places"))
+    lists = open_.groupBy("doc", "piece").agg(F.collect_set("place").alias("places"))
     single = lists.join(pieces.withColumnsRenamed({"doc": "d", "piece": "p"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("piece") == F.col("p"))).select("doc", "piece", "bytes", "places")
-    strings = single.mapInArrow(lambda b: _strings(b, length), f"doc {kind}, name long, a long")
-    last = _with_repeated(interim.stored(strings, "open-strings"), "name").select("doc", "a", (F.col("a") + length).alias("b"))
-    return found.unionByName(more).unionByName(last).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    strings = single.mapInArrow(lambda b: _strings(b, length), f"doc {kind}, name long, name2 long, a long")
+    last = _with_repeated(interim.stored(strings, "open-strings"), "name", "name2").select("doc", "a", (F.col("a") + length).alias("b"))
+    # a set: rows of one identifier and text share their ranges
+    return found.unionByName(more).unionByName(last).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -196,12 +226,12 @@ def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
                 low = (t - f) // STRETCH * STRETCH
                 e = min(t - low, n - 1)
                 owner.append(i)
-                core.append(_name(view, *_core(t, low, min(low + STRETCH - 1, length - WORD), length), low << 1))
+                core.append(_filter_name(view, *_core(t, low, min(low + STRETCH - 1, length - WORD), length), low << 1))
                 whole.append(_name(view, f, e + length, (t - f) << 20 | (t - e) << 1 | 1))
                 places.append(((p >> 32) + f) << 32 | (e - f) << 16 | (t - f))
                 f = e + 1
         take = pa.array(owner, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(core, pa.int64()), pa.array(whole, pa.int64()), batch.column(1).take(take), pa.array(places, pa.int64())], names=["doc", "core", "whole", "piece", "place"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(core, pa.int64()), *_halved(whole), batch.column(1).take(take), pa.array(places, pa.int64())], names=_NAMED)
 
 
 def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -215,14 +245,14 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                     owner.append(i)
                     names.append(_name(view, f, f + length, 0))
                     starts.append(base + f)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(names, pa.int64()), pa.array(starts, pa.int64())], names=["doc", "name", "a"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *_halved(names), pa.array(starts, pa.int64())], names=["doc", "name", "name2", "a"])
 
 
 def without_repeats(df: DataFrame, text: str = "text", id: str = "doc_id", length: int = LENGTH, with_bytes: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept binary) for every row."""
-    ranges = interim.settled(df.sparkSession, lambda: repeated_ranges(df, text, id, length), "repeats").select(F.col("doc.id").alias("r_id"), F.col("doc.h").alias("r_h"), "ranges")
-    rows = df.select(F.col(id).alias("id"), F.hash(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    joined = rows.join(ranges.hint("merge"), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h")), "left").select("id", "t", F.transform("ranges", lambda x: F.shiftleft(x["a"], 32).bitwiseOR(x["b"])).alias("ranges"))
+    ranges = interim.settled(df.sparkSession, lambda: repeated_ranges(df, text, id, length), "repeats").select(F.col("doc.id").alias("r_id"), F.col("doc.h").alias("r_h"), F.col("doc.g").alias("r_g"), "ranges")
+    rows = df.select(F.col(id).alias("id"), *_row_key(text), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    joined = rows.join(ranges.hint("merge"), _same_row("r"), "left").select("id", "t", F.transform("ranges", lambda x: F.shiftleft(x["a"], 32).bitwiseOR(x["b"])).alias("ranges"))
     names = [id, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_bytes]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

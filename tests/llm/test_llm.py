@@ -343,6 +343,18 @@ def test_repeated_substrings(spark, length):
     assert got == Counter((i, *e) for i, e in zip(ids, expected, strict=True))
 
 
+def test_null_identifiers_and_texts_of_one_short_hash(spark):
+    """Two texts of equal 32-bit hashes under null identifiers: one has a repeat, the other must lose nothing."""
+    passage, other = prose(31, 120), prose(32, 120)
+    texts = lambda body: spark.range(130_000).select(F.concat(F.lit(body), F.lit(" "), F.col("id").cast("string")).alias("text"))
+    a, b = (texts(x).select("text", F.hash("text").alias("h")) for x in (passage, other))
+    pair = a.join(b.withColumnRenamed("text", "text_b"), "h").first()
+    df = documents(spark, [pair.text, pair.text_b, f"{passage} end"], [None, None, 1])
+    got = {r.kept_sha256: (r.doc_id, r.n_removed) for r in substrings.without_repeats(df).collect()}
+    assert got[hashlib.sha256(pair.text_b.encode()).hexdigest()] == (None, 0)
+    assert sorted(n for _, n in got.values()) == [0, len(passage.encode()) + 1, len(passage.encode()) + 1]
+
+
 def test_repeated_substrings_of_the_table(spark, sf, texts):
     ids = sorted(texts)
     expected = dict(zip(ids, naive_repeats([texts[i].encode() for i in ids], 400), strict=True))
