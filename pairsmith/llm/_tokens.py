@@ -15,33 +15,38 @@ from collections.abc import Callable
 
 import regex
 
-#: Words that a worker remembers, in each of two generations.
+#: Words that a worker remembers, in each of two generations, and the most characters of such a word: with at
+#: most four bytes of text or ids for each character, a generation takes 100 MB at most.
 REMEMBERED_WORDS = 200_000
+REMEMBERED_CHARACTERS = 40
 #: How byte-level vocabularies of this family split a text before merging (fixed value of the format).
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_CUT = re.compile(r"(?<=\S) ")
-#: Where these are not in a text, every space follows another character than white space.
-_SPACE_BEFORE_SPACE = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
-_ASCII_SPACE_BEFORE_SPACE = [x for x in _SPACE_BEFORE_SPACE if x.isascii()]
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space beside a space or a line break.
+_BESIDE = re.compile(r"[ \n]\s|\s[ \n]")
 
 
 def words_with_space(text: str) -> tuple[str, list[str]]:
-    """The text up to its first cut, and the words after each cut's space (the space left out)."""
-    if any(w in text for w in (_ASCII_SPACE_BEFORE_SPACE if text.isascii() else _SPACE_BEFORE_SPACE)):
+    """The text up to its first cut, and the words after each cut's space (the space left out).
+
+    In texts where no white space stands beside a space or a line break, a line break begins
+    a word too, and stays with it; in others no word begins with white space.
+    """
+    if _BESIDE.search(text):
         first, *rest = _CUT.split(text)
     else:
-        first, *rest = text.split(" ")
+        first, *rest = text.replace("\n", " \n").split(" ")
     return first, rest
 
 
 def words_without_space(text: str) -> tuple[str, list[str]]:
-    """The words between spaces, for vocabularies that drop white space."""
-    return "", text.split(" ")
+    """The words between spaces and line breaks, for vocabularies that drop white space."""
+    return "", text.replace("\n", " ").split(" ")
 
 
 class Memory(dict):
-    """word -> value, made by ``make`` where it isn't known; the oldest generation is forgotten."""
+    """word -> value, made by ``make`` where it isn't known; the oldest generation is forgotten, long words are at once."""
 
     def __init__(self, make: Callable[[str], object], room: int = REMEMBERED_WORDS):
         super().__init__()
@@ -51,6 +56,8 @@ class Memory(dict):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
+            if len(word) > REMEMBERED_CHARACTERS:
+                return value
         if len(self) >= self.room:
             self.old = dict(self)
             self.clear()
@@ -123,15 +130,19 @@ class LibraryWords:
         return encode_texts(texts, self.words, words_without_space if self.lower else words_with_space, self.alone)
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece.replace(" ", _SPACE_CHARACTER) if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece.isalpha()) else byte_text(piece)
+        return self._merged(piece if piece.isascii() and piece.isalpha() else byte_text(piece))
+
+    def _merged(self, letters: str) -> bytes:
         return array(self.code, [t.id for t in self.merge(letters)]).tobytes()
 
     def _spaced_word(self, word: str) -> bytes:
         """The word behind a space; letters are one piece, and so is one mark behind them."""
         if word.isalpha():
-            return self._piece(" " + word)
+            return self._merged(_SPACE_CHARACTER + (word if word.isascii() else byte_text(word)))
         if word[-1:] in self._MARKS and word[:-1].isalpha():
             return self.words[word[:-1]] + self.pieces[word[-1]]
+        if word[:1] == "\n":
+            return self.pieces["\n"] + self.alone(word[1:])
         return self.alone(" " + word)
 
     def _lower_word(self, word: str) -> bytes:

@@ -128,6 +128,8 @@ class ByteLevelBpe:
             return array("I", self._encode_piece(" " + word)).tobytes()
         if word[-1:] in _tokens.LibraryWords._MARKS and word[:-1].isalpha():
             return self.memory[word[:-1]] + self._as_bytes(word[-1])
+        if word[:1] == "\n":
+            return self._as_bytes("\n") + self._as_bytes(word[1:])
         return self._as_bytes(" " + word)
 
     def _as_bytes(self, text: str) -> bytes:
