@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,6 +227,64 @@ def test_near_duplicates_of_the_table(spark, sf, texts):
     assert got == {i: (root[i], len(links[i])) for i in texts}
 
 
+def test_tries_link_all_that_share_a_prefix():
+    rng = np.random.default_rng(12)
+    for depth in (1, 2, 8):
+        n = 300
+        labels = rng.integers(0, 2, (n, 8)) * rng.integers(0, 2, (n, 8)) * np.where(rng.random((n, 8)) < 0.1, 7, 1)
+        packed = sum(labels[:, k].astype(np.uint64) << np.uint64(56 - 8 * k) for k in range(8)).view(np.int64)
+        rows = sorted(zip(rng.integers(0, 3, n).tolist(), packed.tolist(), range(n), strict=True))
+        cuts = sorted({0, n, *rng.integers(0, n, 40).tolist()})
+        partitions, emitted = [[]], []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            t, x, c = (pa.array(list(v), k) for v, k in zip(zip(*rows[a:b], strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True))
+            partitions[-1].append(pa.RecordBatch.from_arrays([t, x, c], names=["tree", "label", "class"]))
+            if rng.random() < 0.3:
+                partitions.append([])
+        for p in partitions:
+            emitted += [r for b in neardup._meetings(iter(p), depth) for r in b.to_pylist()]
+        least = {}
+        for r in emitted:
+            if r["edge"]:
+                least[r["node"]] = min(least.get(r["node"], n), r["head"])
+        root = list(range(n))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for r in emitted:
+            for a, b in [(r["class"], r["head"]), *([(r["head"], least[r["node"]])] if r["edge"] else [])]:
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        nodes, of_class = defaultdict(set), defaultdict(set)
+        for t, x, c in rows:
+            nodes[t, (x & (2**64 - 1)) >> 8 * (8 - depth)].add(c)
+        for r in emitted:
+            of_class[r["class"]].add(r["node"])
+        for own in nodes.values():
+            first = min(find(c) for c in own)
+            assert all(find(c) == first for c in own)
+            assert len(own) == 1 or len(set.intersection(*(of_class[c] for c in own))) == 1
+
+
+def test_pairs_at_the_threshold_meet():
+    """The measured share of pairs of similarity 0.8 that share a prefix of the shortened depth."""
+    rng = random.Random(21)
+    depth, met, pairs = neardup.depth_for(0.8, neardup.RECALL), 0, 400
+    texts = []
+    for k in range(pairs):  # 40 one-word shingles of 50 in common
+        own = [f"w{k}.{rng.random()}" for _ in range(50)]
+        texts += [" ".join(own[:45]), " ".join(own[:40] + own[45:])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * pairs)), pa.array(texts)], names=["doc", "t"])
+    labels = {r["doc"]: r["labels"] for b in neardup._signed_batches(iter([batch]), 1, neardup.TREES) for r in b.to_pylist()}
+    for k in range(pairs):
+        a, b = (np.array(labels[d], dtype=np.int64).view(np.uint64) >> np.uint64(8 * (8 - depth)) for d in (2 * k, 2 * k + 1))
+        met += bool((a == b).any())
+    assert met >= 0.985 * pairs
+
+
 def test_depth_is_shortened_until_the_recall():
     assert neardup.depth_for(0.8, 0.5) == neardup.LABEL
     d = neardup.depth_for(0.8, 0.999)
