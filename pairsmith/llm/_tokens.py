@@ -16,24 +16,26 @@ from collections.abc import Callable
 import regex
 
 #: Words that a worker remembers, in each of two generations, and the most characters of such a word: with at
-#: most four bytes of text or ids for each character, a generation takes 100 MB at most.
-REMEMBERED_WORDS = 200_000
+#: most four bytes of text or ids for each character, and 200 bytes of overhead, a generation takes 100 MB at most.
+REMEMBERED_WORDS = 250_000
 REMEMBERED_CHARACTERS = 40
 #: How byte-level vocabularies of this family split a text before merging (fixed value of the format).
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: White space beside a space or a line break.
-_BESIDE = re.compile(r"[ \n]\s|\s[ \n]")
+#: White space beside a space or a line break: pairs of those two, or others, which seldom stand in a text.
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
+_OTHERS = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_ASCII_OTHERS = [c for c in _OTHERS if c.isascii()]
 
 
 def words_with_space(text: str) -> tuple[str, list[str]]:
     """The text up to its first cut, and the words after each cut's space (the space left out).
 
-    In texts where no white space stands beside a space or a line break, a line break begins
-    a word too, and stays with it; in others no word begins with white space.
+    In texts whose only white space is single spaces and line breaks, a line break begins a
+    word too, and stays with it; in others no word begins with white space.
     """
-    if _BESIDE.search(text):
+    if any(map(text.__contains__, _PAIRS)) or any(map(text.__contains__, _ASCII_OTHERS if text.isascii() else _OTHERS)):
         first, *rest = _CUT.split(text)
     else:
         first, *rest = text.replace("\n", " \n").split(" ")
