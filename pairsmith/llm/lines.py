@@ -10,8 +10,8 @@ are, so that distinct data are never one template.  A template is thus a key, no
 to hold: one key for the exact line and, for lines long enough, one for each stretch.
 
 Copies are not recurrence: they are left whole for near-duplicate removal.  Documents
-that verified near-duplicate links connect (``neardup``) are one origin, whatever passages
-unlike documents share.  A template recurs if it has ``min_documents`` origins or more.
+that verified near-duplicate links connect (``neardup``), among those with a template in
+texts enough, are one origin, whatever passages unlike documents share.  A template recurs if it has ``min_documents`` origins or more.
 Its lines are dropped everywhere but in the document of the least identifier (and its
 exact copies).
 
@@ -48,6 +48,9 @@ OPEN_TOKENS = 12
 #: Tokens of a template for each constant one at most.
 TOKENS_PER_CONSTANT = 3
 _FIELD = np.uint64(0x5EED)
+_DIGIT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[48:58] = True
+_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -56,18 +59,20 @@ def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes:
         breaks = np.flatnonzero(data == 10) + 1
         line_start = np.unique(np.concatenate([at[:-1], breaks[breaks < len(data)]])) if len(data) else np.zeros(0, np.int64)
         start, end = _vec.word_ranges(data, at)
-        letters = np.concatenate([[0], np.cumsum(((data | 0x20) >= 97) & ((data | 0x20) <= 122) | (data >= 128))])
-        digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+        if not len(start):
+            continue
         h = _vec.range_hash(_vec.prefix_sums(data), start, end)
-        is_field = digits[end] > digits[start]
+        is_field = np.logical_or.reduceat(_DIGIT[data], start)  # what stands between words is no digit
         exact = _vec.prefix_sums(h)
         h[is_field] = _FIELD
         constants = np.concatenate([[0], np.cumsum(~is_field)])
         first = np.searchsorted(start, line_start)
         n = np.diff(np.append(first, len(start)))
         last = first + n - 1
-        width = np.where(n > 0, end[last.clip(0)] - start[first.clip(max=max(0, len(start) - 1))], 0) if len(start) else n
-        worded = letters[np.append(line_start[1:], len(data))] > letters[line_start]
+        width = np.where(n > 0, end[last.clip(0)] - start[first.clip(max=len(start) - 1)], 0)
+        worded = np.zeros(len(n), bool)
+        in_text = line_start < len(data)  # empty texts may stand at the end
+        worded[in_text] = np.logical_or.reduceat(_LETTER[data], line_start[in_text])
         chosen = np.flatnonzero((n >= 1) & (worded | (n >= min_tokens) & (width >= min_bytes)))
         if not len(chosen):
             continue
@@ -106,7 +111,6 @@ def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes:
 
 def recurring_lines(df: DataFrame, text: str = "text", id: str = "doc_id", min_documents: int = MIN_DOCUMENTS, min_tokens: int = MIN_TOKENS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """(doc struct, drop array<int>): the lines to drop, counted from 0, of the documents that have any."""
-    origins = neardup.text_components(df, text, id).select(F.col("h").alias("class"), F.col("component").alias("origin"))
     doc = F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("h"))
     rows = df.select(doc.alias("doc"), F.xxhash64(text).alias("class"), F.col(text).alias("t"))
     kind = rows.schema["doc"].dataType.simpleString()
@@ -115,12 +119,18 @@ def recurring_lines(df: DataFrame, text: str = "text", id: str = "doc_id", min_d
     leaves = lines.groupBy("leaf").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select("leaf")
     leaves = interim.stored(leaves, "leaves")
     keyed = interim.stored(lines.join(leaves.hint("merge"), "leaf", "left_semi").select("doc", "class", "line", "short", F.explode("keys").alias("key")), "template-keys")
-    # one row for each key and text, then for each key and origin: a key of many copies shrinks before it is counted
-    texts = keyed.groupBy("key", "class").agg(F.min("doc").alias("doc"), F.min("short").alias("short")).join(origins.hint("merge"), "class")
-    counted = texts.groupBy("key", "origin").agg(F.min(F.struct("doc", "class")).alias("first"), F.min("short").alias("short")).groupBy("key").agg(F.count("*").alias("origins"), F.min("first").alias("first"), F.min("short").alias("short"))
+    # one row for each key and text: a key of many copies shrinks before it is counted
+    texts = interim.stored(keyed.groupBy("key", "class").agg(F.min("doc").alias("doc"), F.min("short").alias("short")), "template-texts")
     # a template is short if all its lines are
-    recurring = F.col("origins") >= F.when(F.col("short"), -(-min_documents * SHORT_DOCUMENTS // MIN_DOCUMENTS)).otherwise(min_documents)
-    templates = interim.stored(counted.filter(recurring).select("key", F.col("first.class").alias("first")), "templates")
+    needed = F.when(F.min("short"), -(-min_documents * SHORT_DOCUMENTS // MIN_DOCUMENTS)).otherwise(min_documents)
+    frequent = interim.stored(texts.groupBy("key").agg(F.count("*").alias("n"), needed.alias("needed")).filter("n >= needed").select("key", "needed"), "frequent-templates")
+    texts = interim.stored(texts.join(frequent.hint("merge"), "key").select("key", "class", "doc", "needed"), "frequent-template-texts")
+    # origins matter for texts of these templates only
+    wanted = texts.select(F.col("class").alias("wanted")).distinct()
+    sharing = df.select(F.col(id), F.col(text)).join(wanted.hint("merge"), F.xxhash64(text) == F.col("wanted"), "left_semi")
+    origins = neardup.text_components(sharing, text, id).select(F.col("h").alias("class"), F.col("component").alias("origin"))
+    counted = texts.join(origins.hint("merge"), "class").groupBy("key", "origin").agg(F.min(F.struct("doc", "class")).alias("first"), F.first("needed").alias("needed")).groupBy("key").agg(F.count("*").alias("origins"), F.min("first").alias("first"), F.first("needed").alias("needed"))
+    templates = interim.stored(counted.filter("origins >= needed").select("key", F.col("first.class").alias("first")), "templates")
     dropped = keyed.join(templates.hint("merge"), "key").filter(F.col("class") != F.col("first"))
     return dropped.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("drop"))
 

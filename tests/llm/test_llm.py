@@ -190,11 +190,23 @@ def naive_links(texts, words=5, least=0.8):
     for i, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         sets[i] = {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
-    links = {i: {j for j in sets if j != i and sets[i] and sets[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])} for i in sets}
+    common = Counter()
+    having = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            having[x].append(i)
+    for own in having.values():
+        common.update((a, b) for a in own for b in own if a != b)
+    links = {i: set() for i in sets}
+    for (a, b), n in common.items():
+        if n >= least * (len(sets[a]) + len(sets[b]) - n):
+            links[a].add(b)
     root = {i: i for i in sets}
-    for _ in sets:
-        root = {i: min([root[i], *(root[j] for j in links[i])]) for i in sets}
-    return links, root
+    while True:
+        now = {i: min([root[i], *(root[j] for j in links[i])]) for i in sets}
+        if now == root:
+            return links, root
+        root = now
 
 
 def near_copies():
@@ -424,42 +436,35 @@ def test_repeated_substrings_of_the_table(spark, sf, texts):
 
 
 def naive_lines(rows):
-    """rows: (id, text). Lines to drop of each, by comparing templates as tuples."""
+    """rows: (id, text). Lines to drop of each, by comparing templates as tuples and texts by their shingles."""
     def templates(line):
         w = re.findall(r"[^\x20\x09-\x0D]+", line)
-        if len(w) < lines.MIN_TOKENS or len(" ".join(w).encode()) < 1:
+        width = len(line.strip(" \t\n\x0b\x0c\r").encode())
+        if not w or not (re.search("[A-Za-z\x80-\U0010ffff]", line) or len(w) >= lines.MIN_TOKENS and width >= lines.MIN_BYTES):
             return []
-        m = re.search(r"[^\x20\x09-\x0D].*[^\x20\x09-\x0D]", line)
-        if len(m[0].encode()) < lines.MIN_BYTES:
-            return []
-        w = [None if re.search("[0-9]", x) else x for x in w]
-        rest = len(w) - lines.DEPTH
-        cuts = [lines.DEPTH + rest * k // lines.STRETCHES for k in range(lines.STRETCHES + 1)]
-        out = [tuple(w)]
+        fields = [None if re.search("[0-9]", x) else x for x in w]
+        enough = lambda part: sum(x is not None for x in part) * lines.TOKENS_PER_CONSTANT >= len(w)
+        lead = min(len(w), lines.DEPTH)
+        cuts = [lead + (len(w) - lead) * k // lines.STRETCHES for k in range(lines.STRETCHES + 1)]
+        out = [("whole", *(fields if enough(fields) else w))]
         if len(w) >= lines.OPEN_TOKENS:
-            out += [(k, len(w), *w[: cuts[k]], "|", *w[cuts[k + 1] :]) for k in range(lines.STRETCHES)]
-        return out
-
-    def origin(t):
-        data = (t or "").encode()
-        at = np.array([0, len(data)])
-        data = np.frombuffer(data, np.uint8)
-        s, _ = neardup.shingles(data, at)
-        return int(s.min()) if len(s) else 0
-
-    texts, origins = defaultdict(set), defaultdict(set)
-    first = {}
+            rest = [(k, fields[: cuts[k]], fields[cuts[k + 1] :]) for k in range(lines.STRETCHES)]
+            out += [(k, len(w), *a, "|", *b) for k, a, b in rest if enough([*a, *b])]
+        return [(x, width < lines.MIN_BYTES) for x in out]
+
+    texts, short, first = defaultdict(set), defaultdict(lambda: True), {}
     for i, t in rows:
-        own = origin(t)
         for line in (t or "").split("\n"):
-            for k in templates(line):
+            for k, is_short in templates(line):
                 texts[k].add(t)
-                origins[k].add(own)
+                short[k] &= is_short
                 first[k] = min(first.get(k, (i, t)), (i, t))
-    drop = {}
-    for i, t in rows:
-        drop[i] = [n for n, line in enumerate((t or "").split("\n")) if any(len(origins[k]) >= lines.MIN_DOCUMENTS and 3 * len(origins[k]) >= len(texts[k]) and first[k][1] != t for k in templates(line))]
-    return drop
+    needed = {k: lines.SHORT_DOCUMENTS if short[k] else lines.MIN_DOCUMENTS for k in texts}
+    sharing = {t for k, own in texts.items() if len(own) >= needed[k] for t in own}
+    _, origin = naive_links({i: t for i, t in rows if t in sharing})
+    of_text = {t: origin[i] for i, t in rows if t in sharing}
+    recurring = {k for k, own in texts.items() if len(own) >= needed[k] and len({of_text[t] for t in own}) >= needed[k]}
+    return {i: [n for n, line in enumerate((t or "").split("\n")) if any(k in recurring and first[k][1] != t for k, _ in templates(line))] for i, t in rows}
 
 
 def test_lines(spark):
@@ -494,6 +499,16 @@ def test_lines_of_a_passage_in_unlike_documents(spark):
     assert got == {i: int(i > 0) for i in range(40)}
 
 
+@pytest.mark.parametrize("own", [40, 8, 4])
+def test_a_line_in_many_distinct_documents_goes(spark, own):
+    line = prose(7000, 30)
+    rows = [(i, prose(7001 + i, own) + "\n" + line) for i in range(400)]
+    page = [prose(7900 + k, 30) for k in range(12)]
+    rows += [(500 + i, "\n".join([*page[: i % 12], page[i % 12] + f" edit{i}", *page[i % 12 + 1 :]])) for i in range(60)]  # near copies stay whole
+    got = {r.row.doc_id: r.n_dropped for r in lines.without_recurring_lines(documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()}
+    assert got == {i: int(0 < i < 400) for i, _ in rows}
+
+
 def test_short_lines_and_lines_without_spaces(spark):
     rows = [(i, "\n".join([prose(5000 + i, 12), "Read more", "}", "7", "转载请注明出处谢谢合作" if i < 3 else prose(5100 + i, 8), "Ah so" if i < 9 else prose(5200 + i, 8)])) for i in range(12)]
     got = {r.row.doc_id: r.t for r in lines.without_recurring_lines(documents(spark, [t for _, t in rows])).collect()}
