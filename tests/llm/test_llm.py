@@ -348,11 +348,74 @@ def test_base_digests(spark, sf, texts):
         assert set(pii.joined(base).split(",")) <= set(r.spans.split(","))
 
 
-def test_segmentation_is_the_best():
+def plain_features(text, start, end):
+    """Names of the features of a span, by regular expressions."""
+    s = text[start:end]
+    groups = re.findall(r"[0-9]+", s)
+    digits = "".join(groups)
+    n, g = len(digits), len(groups)
+    rest = set(re.sub(r"[0-9A-Za-z]", "", s))
+    f = {"at" if "@" in s else "no_at", "plus" if s[:1] == "+" else "no_plus"}
+    if pii._emails(s) == [(0, len(s))]:
+        f.add("dotted_domain")
+    if g == 4 and re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s):
+        f.add("four_parts" if all(int(x) <= 255 for x in groups) else "part_over_255")
+    if 13 <= n <= 19:
+        f.add("luhn" if pii.luhn(digits) else "no_luhn")
+    if re.search("[A-Za-z]", s):
+        f.add("letters")
+    f.add(next(name for most, name in ((6, "digits_6_less"), (8, "digits_7_8"), (12, "digits_9_12"), (15, "digits_13_15"), (19, "digits_16_19"), (10**9, "digits_20_more")) if n <= most))
+    if g == 1:
+        f.add("groups_1")
+    elif set(map(len, groups)) == {4}:
+        f.add("groups_4_equal")
+    elif g:
+        f.add("groups_3_6" if g <= 6 else "groups_7_more")
+    if rest == {"."}:
+        f.add("dots_only")
+    f |= {name for name, marks in (("spaces", " "), ("hyphens", "-"), ("brackets", "()")) if rest & set(marks)}
+    if not (start and text[start - 1].isalnum()):
+        f.add("starts_at_edge")
+    if not (end < len(text) and text[end].isalnum()):
+        f.add("ends_at_edge")
+    if start > 1 and text[start - 1] in " -." and text[start - 2].isdigit():
+        f.add("before_digit")
+    if end + 1 < len(text) and text[end] in " -." and text[end + 1].isdigit():
+        f.add("after_digit")
+    if not s[-1:].isalnum() or s[:1] in " -.)":
+        f.add("ends_in_mark")
+    return f
+
+
+def test_segments_and_their_features():
+    rng = random.Random(13)
+    for _ in range(150):
+        text = "".join(rng.choice(["1", "23", "0004", "256", "4465758382889437", " ", "-", ".", "+", "(", ")", "a", "@", "b.c", "é", "²", "😀"]) for _ in range(rng.randint(1, 30)))
+        start = rng.randrange(len(text))
+        end = rng.randint(start + 1, len(text))
+        tokens = pii.Tokens(text, start, end)
+        bounds = [m.span() for m in re.finditer(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]", text[start:end])]
+        assert [tokens.span(k, k + 1) for k in range(tokens.n)] == [(a + start, b + start) for a, b in bounds]
+        expected = []
+        for i, (a, _) in enumerate(bounds):
+            for j in range(i + 1, min(len(bounds), i + pii.MAX_TOKENS) + 1):
+                s = text[a + start : bounds[j - 1][1] + start]
+                d = sum(c.isdigit() for c in s)
+                if (s[0].isalnum() or s[0] in "+(") and s[-1].isalnum() and d <= 19 + 30 * ("@" in s) and (d >= 4 or "@" in s):
+                    expected.append((i, j))
+        i, j = tokens.segments(0, tokens.n)
+        assert list(zip(i.tolist(), j.tolist(), strict=True)) == expected
+        if expected:
+            for (i, j), row in zip(expected, tokens.features(i, j), strict=True):
+                assert {f for f, k in pii._FEATURES.items() if row[k]} == plain_features(text, *tokens.span(i, j)), text
+
+
+def test_segmentation_is_the_best(monkeypatch):
     rng = np.random.default_rng(2)
     text = "+1 (826) 555-4081 1.2.3.4"
     lattice = pii.Lattice(text, 0, len(text))
     scores = rng.normal(0, 2, (len(lattice.segments), 4))
+    row = {segment: k for k, segment in enumerate(lattice.segments)}
 
     def every(i):
         if i == lattice.n:
@@ -366,7 +429,10 @@ def test_segmentation_is_the_best():
 
     all_of_them = list(every(0))
     best = max(all_of_them, key=lambda x: x[0])
-    assert [(kind, *lattice.segments[k]) for kind, k in best[1]] == lattice.best(scores)
+    expected = [(kind, *lattice.tokens.span(*lattice.segments[k])) for kind, k in best[1]]
+    for block in (1, 3, 2048):
+        monkeypatch.setattr(pii, "BLOCK_TOKENS", block)
+        assert pii.best_spans(lattice.tokens, lambda i, j: scores[[row[x] for x in zip(i.tolist(), j.tolist(), strict=True)]]) == expected
     z = sum(np.exp(v) for v, _ in all_of_them)
     p = np.zeros_like(scores)
     for v, s in all_of_them:
@@ -375,6 +441,18 @@ def test_segmentation_is_the_best():
     assert np.allclose(p, lattice.marginals(scores))
 
 
+def test_a_long_table_of_digits():
+    """1 MB of digits in one region: seconds, and the spans of each block are those of a short region."""
+    model = pii.Model(np.random.default_rng(4).normal(0, 1, (len(pii._FEATURES), 4)))
+    for unit, n in (("1 ", 500_000), ("17 4.5 +1234-5 6789 ", 50_000)):
+        began = time.process_time()
+        spans = model.added_spans(unit * n, pii.base_spans(unit * n))
+        assert time.process_time() - began < 60
+        assert spans == sorted(spans, key=lambda x: x[1]) and all(a < b for _, a, b in spans)
+        some = model.added_spans(unit * 200, [])
+        assert spans[: len(some) // 2] == some[: len(some) // 2]
+
+
 # 5: repeated substrings
 
 
