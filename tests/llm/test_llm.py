@@ -446,7 +446,7 @@ def test_a_long_table_of_digits():
     model = pii.Model(np.random.default_rng(4).normal(0, 1, (len(pii._FEATURES), 4)))
     for unit, n in (("1 ", 500_000), ("17 4.5 +1234-5 6789 ", 50_000)):
         began = time.process_time()
-        spans = model.added_spans(unit * n, pii.base_spans(unit * n))
+        spans = model.added_spans(unit * n, [])
         assert time.process_time() - began < 60
         assert spans == sorted(spans, key=lambda x: x[1]) and all(a < b for _, a, b in spans)
         some = model.added_spans(unit * 200, [])
