@@ -126,7 +126,7 @@ def recurring_lines(df: DataFrame, text: str = "text", id: str = "doc_id", min_d
     frequent = interim.stored(texts.groupBy("key").agg(F.count("*").alias("n"), needed.alias("needed")).filter("n >= needed").select("key", "needed"), "frequent-templates")
     texts = interim.stored(texts.join(frequent.hint("merge"), "key").select("key", "class", "doc", "needed"), "frequent-template-texts")
     # origins matter for texts of these templates only
-    wanted = texts.select(F.col("class").alias("wanted")).distinct()
+    wanted = interim.stored(texts.select(F.col("class").alias("wanted")).distinct(), "wanted-texts")
     sharing = df.select(F.col(id), F.col(text)).join(wanted.hint("merge"), F.xxhash64(text) == F.col("wanted"), "left_semi")
     origins = neardup.text_components(sharing, text, id).select(F.col("h").alias("class"), F.col("component").alias("origin"))
     counted = texts.join(origins.hint("merge"), "class").groupBy("key", "origin").agg(F.min(F.struct("doc", "class")).alias("first"), F.first("needed").alias("needed")).groupBy("key").agg(F.count("*").alias("origins"), F.min("first").alias("first"), F.first("needed").alias("needed"))
