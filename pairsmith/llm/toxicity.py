@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
-States: 0 clean, 1 toxic.  A token's feature is its identity if it belongs to the
-lexicon, which is learned with the weights from documents labelled as wholes: tokens
-that stand far more often in toxic documents are the labelled tokens.  Forward-backward
+States: 0 clean, 1 toxic.  A token's features are its identity and its affixes (so other
+inflections of a toxic stem are found) if they belong to the lexicon, which is learned
+with the weights from documents labelled as wholes: features that stand far more often in
+toxic documents mark the labelled tokens.  Forward-backward
 gives each token's marginal; a document's score is a logistic function of its marginals,
 fitted on the same rows.  Runs of tokens outside the lexicon all take the same step, so
 they are passed by a matrix power, and the cost of a text is that of finding its tokens.
@@ -13,8 +14,11 @@ signs part them.  Runs of scripts without spaces give overlapping n-grams of cha
 pairs for Han and kana, fours for Thai, Lao, Khmer and Myanmar.  A pictograph (or another
 character of no known kind) is a token of its own.
 Null and empty texts have no tokens and get the score of no evidence.  Rows with a null
-identifier are scored and count as held out.  Repeated rows get equal scores.  Without
-any labelled row of both classes every score is the share of toxic rows (0 if none).
+identifier are scored and count as held out.  Repeated rows get equal scores; of labels
+that repeat an identifier the toxic one counts.  A text of any length is scored whole, in
+memory of about 100 bytes for each of its bytes.  Without any labelled row of both classes
+every score is the share of toxic rows (0 if none).  An empty table gives an empty table.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +31,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairsmith.llm import _vec
+from pairsmith.sources import interim
 
 #: Labelled rows that the model is learned from, the first by a hash of the identifier.
 LABELLED_ROWS = 12_000
+#: Features of the lexicon, those that tell the classes apart best, and training sequences around them.
 LEXICON_TOKENS = 2_000
+#: Toxic labelled documents that a feature of the lexicon stands in, and how far from chance.
+LEAST_TOXIC, LEAST_Z = 5, 6.5
+TRAINING_WINDOWS = 20_000
 #: Tokens on either side of a lexicon token in a training sequence.
 CONTEXT = 8
 
@@ -85,8 +94,12 @@ def held_out(id: Column) -> Column:
     return F.coalesce(F.crc32(id.cast("string")) % 3 == 1, F.lit(True))
 
 
+#: Affixes of how many characters are features of a longer token, besides the token itself.
+PREFIXES, SUFFIXES = (4, 5, 6), (4, 5)
+
+
 def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the tokens of a batch."""
+    """Starts and ends of the tokens of a batch, and their features: hashes of the token and its affixes, 0 for none."""
     where, points = _code_points(data)
     kinds, lower = _characters()
     kind = kinds[points]
@@ -104,33 +117,50 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     first = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(len(stop))
     last = np.where(gram > 0, np.minimum(first + gram, stop), stop)
     bytes_at = np.append(where, len(data))
-    return bytes_at[first], bytes_at[last], _vec.range_hash(_vec.prefix_sums(lower[points]), first, last)
+    sums, size = _vec.prefix_sums(lower[points]), last - first
+    features = np.zeros((len(first), 1 + len(PREFIXES) + len(SUFFIXES)), dtype=np.uint64)
+    features[:, 0] = _vec.range_hash(sums, first, last)
+    for column, (n, ahead) in enumerate([*((n, True) for n in PREFIXES), *((n, False) for n in SUFFIXES)], 1):
+        use = np.flatnonzero(size > n)
+        a, b = (first[use], first[use] + n) if ahead else (last[use] - n, last[use])
+        features[use, column] = _vec.mix(_vec.range_hash(sums, a, b) + np.uint64(column))
+    return bytes_at[first], bytes_at[last], features
 
 
 @dataclass
 class Model:
-    """lexicon: sorted token hashes; weights: of the toxic state for each; step: the transition scores."""
+    """lexicon: sorted hashes of tokens and affixes; weights: of the toxic state for each; step: the transition scores."""
 
     lexicon: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -8.0
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    document: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    document: np.ndarray = field(default_factory=lambda: np.zeros(4))  # weights of the document's evidence
     prior: float = 0.0
 
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        """The lexicon place of each token, or -1."""
-        if not len(self.lexicon):
-            return np.full(len(hashes), -1)
-        i = np.searchsorted(self.lexicon, hashes).clip(max=len(self.lexicon) - 1)
-        return np.where(self.lexicon[i] == hashes, i, -1)
-
-    def marginals(self, n: int, at: list[int], place: list[int]) -> list[float]:
-        """P(toxic) of the tokens ``at`` of a text of n tokens; the others are outside the lexicon."""
+    def found(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which tokens have a feature in the lexicon, and the places of their features there, -1 for the others."""
+        # the low bits tell most features apart
+        known = np.zeros(1 << 16, bool)
+        known[(self.lexicon & np.uint64(0xFFFF)).astype(np.int64)] = True
+        hits = np.flatnonzero(known[(features & np.uint64(0xFFFF)).astype(np.int64)].any(axis=1))
+        if not len(self.lexicon) or not len(hits):
+            return hits[:0], np.zeros((0, features.shape[1]), np.int64)
+        i = np.searchsorted(self.lexicon, features[hits]).clip(max=len(self.lexicon) - 1)
+        place = np.where(self.lexicon[i] == features[hits], i, -1)
+        use = (place >= 0).any(axis=1)
+        return hits[use], place[use]
+
+    def emission(self, place: np.ndarray) -> np.ndarray:
+        """The score of the toxic state for tokens with features at these places."""
+        return self.bias + np.append(self.weights, 0.0)[place].sum(axis=-1)
+
+    def marginals(self, n: int, at: list[int], scores: list[float]) -> list[float]:
+        """P(toxic) of the tokens ``at`` of a text of n tokens, whose toxic state scores ``scores``; the others are outside the lexicon."""
         t, b = np.exp(self.step), math.exp(self.bias)
         a = [[t[0, 0], t[0, 1] * b], [t[1, 0], t[1, 1] * b]]  # one step onto a token outside the lexicon
         run = _Power(a)
-        emit = [math.exp(min(50.0, self.bias + self.weights[p])) for p in place]
+        emit = [math.exp(min(50.0, x)) for x in scores]
         (t00, t01), (t10, t11) = t.tolist()
         # forward: scores just after each token, scaled to sum 1
         forward, x, y, last = [], 1.0, 1.0, -1
@@ -192,75 +222,135 @@ class _Power:
 
 
 def evidence(marginals: list[float]) -> np.ndarray:
-    """What a document's score is a function of: 1, largest marginal, log of expected toxic tokens, log odds of any."""
+    """What a document's score is a function of: 1, log odds of the largest marginal, log of expected toxic tokens, log odds of any."""
     none = sum(math.log1p(-min(p, 1 - 1e-9)) for p in marginals)
-    return np.array([1.0, max(marginals, default=0.0), math.log1p(sum(marginals)), min(20.0, -none)])
+    most = min(max(max(marginals, default=0.0), 1e-4), 1 - 1e-4)
+    return np.array([1.0, math.log(most / (1 - most)), math.log1p(sum(marginals)), min(20.0, -none)])
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def learn(documents: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", max_rows: int = LABELLED_ROWS) -> Model:
-    """Fit on the driver from at most ``max_rows`` labelled rows that are not held out."""
+def learn(documents: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", max_rows: int = LABELLED_ROWS, max_tokens: int = LEXICON_TOKENS, max_windows: int = TRAINING_WINDOWS) -> Model:
+    """Fit on at most ``max_rows`` labelled rows that are not held out, a lexicon of at most ``max_tokens`` and about ``max_windows`` windows.
+
+    Tokens are counted, windows cut out and marginals summed up where the texts are: the
+    driver gets the lexicon, windows of places in it, and four numbers for each document.
+    """
+    with interim.scope(documents.sparkSession):
+        return _learn(documents, labels, text, id, label, max_rows, max_tokens, max_windows)
+
+
+def _learn(documents: DataFrame, labels: DataFrame, text: str, id: str, label: str, max_rows: int, max_tokens: int, max_windows: int) -> Model:
     usable = labels.select(F.col(id).alias("label_id"), F.col(label).cast("int").alias("y")).dropna().filter(~held_out(F.col("label_id")))
-    chosen = usable.dropDuplicates(["label_id"]).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
-    rows = documents.select(F.col(id).alias("label_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "label_id").select("label_id", "t", "y").toArrow().sort_by("label_id")
-    y = np.array(rows.column("y").to_pylist(), dtype=np.float64)
-    model = Model(prior=float(y.mean()) if len(y) else 0.0)
-    if not len(y) or y.min() == y.max():
+    chosen = usable.groupBy("label_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
+    rows = documents.select(F.col(id).alias("label_id"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), "label_id").select(F.xxhash64("label_id").alias("key"), "t", "y")
+    rows = interim.stored(rows, "labelled-texts")
+    n, toxic = rows.agg(F.count("*"), F.sum("y")).first()
+    model = Model(prior=toxic / n if n else 0.0)
+    if not n or toxic in (0, n):
         return model
-    parts, owner, first = [], [], 0
-    for batch, data, at in _vec.steps(iter(rows.select(["label_id", "t"]).combine_chunks().to_batches())):
-        start, _, h = tokens(data, at)
-        parts.append(h)
-        owner.append(np.searchsorted(at, start, side="right") - 1 + first)
-        first += batch.num_rows
-    hashes, owner = np.concatenate(parts), np.concatenate(owner)
-    model.lexicon = _lexicon(hashes, owner, y)
+    # features that toxic texts share, then in how many texts each of them stands
+    often = rows.filter("y = 1").mapInArrow(_document_counts, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_TOXIC)
+    toxic_in = {r.feature: r.n for r in often.orderBy(F.desc("n"), "feature").limit(50 * max_tokens).collect()}
+    wanted = np.sort(np.array(list(toxic_in), dtype=np.int64).view(np.uint64))
+    counts = rows.mapInArrow(lambda b: _document_counts(b, wanted), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    model.lexicon = _lexicon(toxic_in, {r.feature: r.n for r in counts}, toxic / n, max_tokens)
     if not len(model.lexicon):
         return model
-    place = model.places(hashes)
-    _fit_chain(model, place, owner, y)
-    begin = np.searchsorted(owner, np.arange(len(y) + 1))
-    found = []
-    for d in range(len(y)):
-        own = place[begin[d] : begin[d + 1]]
-        at = np.flatnonzero(own >= 0)
-        found.append(evidence(model.marginals(len(own), at.tolist(), own[at].tolist()) if len(at) else []))
-    model.document = _logistic(np.array(found), y)
+    each = max(8, max_windows // len(model.lexicon))
+    windows = rows.mapInArrow(lambda b: _windows(b, model, each), "centre int, draw long, x array<int>, toxic boolean")
+    place = F.row_number().over(Window.partitionBy("centre").orderBy("draw", "x", "toxic"))
+    # each token of the lexicon keeps some windows, and as many windows anywhere are taken beside them
+    kept = windows.withColumn("place", place).filter(F.col("place") <= F.when(F.col("centre") < 0, max_windows).otherwise(each)).select("centre", "x", "toxic").orderBy("centre", "x", "toxic").toArrow()
+    _fit_chain(model, np.array(kept.column("x").to_pylist(), dtype=np.int64), np.array(kept.column("toxic").to_pylist(), dtype=bool))
+    facts = rows.mapInArrow(lambda b: _evidence(b, model), "e array<double>, y int").orderBy("y", "e").toArrow()
+    model.document = _logistic(np.array(facts.column("e").to_pylist(), dtype=np.float64), np.array(facts.column("y").to_pylist(), dtype=np.float64))
     return model
 
 
-def _lexicon(hashes: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Tokens that stand far more often in toxic documents than in others: the largest z of the two shares."""
-    begin = np.searchsorted(owner, np.arange(len(y) + 1))
-    once = [np.unique(hashes[begin[d] : begin[d + 1]]) for d in range(len(y))]
-    weights = np.repeat(y, [len(o) for o in once])
-    tokens_, index, n = np.unique(np.concatenate(once), return_inverse=True, return_counts=True)
-    toxic = np.bincount(index, weights=weights, minlength=len(tokens_))
-    rate = y.mean()
+def _document_counts(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """(feature, documents with it) of each step's texts (key, t, y)."""
+    for batch, data, at in _vec.steps(batches):
+        start, _, features = tokens(data, at)
+        owner = np.repeat(np.searchsorted(at, start, side="right") - 1, features.shape[1])
+        features = features.ravel()
+        use = features > 0
+        if wanted is not None:
+            use &= wanted[np.searchsorted(wanted, features).clip(max=len(wanted) - 1)] == features if len(wanted) else False
+        features, owner = features[use], owner[use]
+        order = np.lexsort((features, owner))
+        features, owner = features[order], owner[order]
+        once = np.ones(len(features), bool)
+        once[1:] = (features[1:] != features[:-1]) | (owner[1:] != owner[:-1])
+        found, n = np.unique(features[once], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(_vec.signed(found)), pa.array(n)], names=["feature", "n"])
+
+
+def _lexicon(toxic_in: dict[int, int], in_all: dict[int, int], rate: float, most: int) -> np.ndarray:
+    """Features that stand far more often in toxic documents than in others: the largest z of the two shares.
+
+    With many features tested, as many standard deviations by chance are rare.
+    """
+    key = np.array(sorted(toxic_in), dtype=np.int64)
+    toxic, n = (np.array([d[k] for k in key.tolist()], dtype=np.float64) for d in (toxic_in, in_all))
     z = (toxic - n * rate) / np.sqrt(n * rate * (1 - rate) + 1e-12)
-    share = (toxic + rate) / (n + 1)
-    # with many tokens tested, five standard deviations by chance are rare
-    good = (toxic >= 3) & (z >= 5) & (share >= min(0.9, 3 * rate))
-    best = np.flatnonzero(good)[np.argsort(-z[good], kind="stable")][:LEXICON_TOKENS]
-    return np.sort(tokens_[best])
-
-
-def _fit_chain(model: Model, place: np.ndarray, owner: np.ndarray, y: np.ndarray, rounds: int = 150) -> None:
-    """Weights, bias and transitions by gradient ascent on windows of tokens around the lexicon's, and on windows without any."""
-    rng = np.random.default_rng(5)
-    hits = np.flatnonzero(place >= 0)
-    if len(hits) > 20_000:
-        hits = np.sort(rng.choice(hits, 20_000, replace=False))
-    centres = np.concatenate([hits, rng.integers(0, len(place), len(hits))])
+    good = (z >= LEAST_Z) & ((toxic + rate) / (n + 1) >= min(0.9, 3 * rate))
+    return np.sort(key[good][np.argsort(-z[good], kind="stable")][:most].view(np.uint64))
+
+
+def _windows(batches: Iterator[pa.RecordBatch], model: Model, each: int) -> Iterator[pa.RecordBatch]:
+    """(centre's lexicon place or -1, draw, lexicon places of the tokens around it or -1, whether the text is toxic).
+
+    At most ``each`` windows for each lexicon token of a step, the first by their draw, and
+    as many anywhere.
+    """
+    for batch, data, at in _vec.steps(batches):
+        start, _, features = tokens(data, at)
+        owner = np.searchsorted(at, start, side="right") - 1
+        draw = _vec.mix(batch.column(0).to_numpy().view(np.uint64)[owner] + np.arange(len(start), dtype=np.uint64) - np.searchsorted(owner, owner).astype(np.uint64))
+        hits, own = model.found(features)
+        if not len(hits):
+            continue
+        place = np.full(features.shape, -1, dtype=np.int32)
+        place[hits] = own
+        main = own.max(axis=1)  # one of the token's features stands for it
+        order = np.lexsort((draw[hits], main))
+        hits, main = hits[order], main[order]
+        few = np.arange(len(hits)) - np.searchsorted(main, main) < each
+        hits, main = hits[few], main[few]
+        anywhere = np.argsort(draw, kind="stable")[: len(hits)]
+        centres = np.concatenate([hits, anywhere])
+        around = centres[:, None] + np.arange(-CONTEXT, CONTEXT + 1)
+        inside = (around >= 0) & (around < len(place))
+        around = around.clip(0, len(place) - 1)
+        x = np.where((inside & (owner[around] == owner[centres][:, None]))[:, :, None], place[around], -1).reshape(len(centres), -1)
+        centre = np.concatenate([main, np.full(len(anywhere), -1)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(centre), pa.array(_vec.signed(draw[centres])), lists, pa.array(batch.column(2).to_numpy()[owner[centres]] == 1)], names=["centre", "draw", "x", "toxic"])
+
+
+def _evidence(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """(evidence, y) of each text (key, t, y)."""
+    for batch, data, at in _vec.steps(batches):
+        start, _, features = tokens(data, at)
+        hits, place = model.found(features)
+        emission, begin = model.emission(place), np.searchsorted(start, at)
+        first = np.searchsorted(hits, begin)
+        out = []
+        for d in range(batch.num_rows):
+            own = slice(first[d], first[d + 1])
+            p = model.marginals(int(begin[d + 1] - begin[d]), (hits[own] - begin[d]).tolist(), emission[own].tolist()) if first[d] < first[d + 1] else []
+            out.append(evidence(p).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), batch.column(2)], names=["e", "y"])
+
+
+def _fit_chain(model: Model, x: np.ndarray, toxic: np.ndarray, rounds: int = 150) -> None:
+    """Weights, bias and transitions by gradient ascent on windows x of lexicon places, -1 outside; in toxic texts the lexicon's tokens are the toxic ones."""
     width = 2 * CONTEXT + 1
-    at = centres[:, None] + np.arange(-CONTEXT, CONTEXT + 1)
-    inside = (at >= 0) & (at < len(place))
-    at = at.clip(0, len(place) - 1)
-    x = np.where(inside & (owner[at] == owner[centres][:, None]), place[at], -1)
-    gold = (x >= 0) & (y[owner[centres]] == 1)[:, None]
+    x = x.reshape(len(x), width, -1)
+    gold = (x >= 0).any(axis=2) & toxic[:, None]
     n_tokens = len(model.lexicon)
     theta = np.concatenate([np.zeros(n_tokens), [-4.0], np.zeros(4)])
     flat, known = np.where(x >= 0, x, n_tokens), x >= 0
@@ -269,7 +359,7 @@ def _fit_chain(model: Model, place: np.ndarray, owner: np.ndarray, y: np.ndarray
     np.add.at(gold_step, (gold[:, :-1].astype(int).ravel(), gold[:, 1:].astype(int).ravel()), 1)
     for k in range(1, rounds + 1):
         w, b, t = np.append(theta[:n_tokens], 0.0), theta[n_tokens], np.exp(theta[n_tokens + 1 :].reshape(2, 2))
-        e = np.exp(np.clip(w[flat] + b, -30, 30))
+        e = np.exp(np.clip(w[flat].sum(axis=2) + b, -30, 30))
         forward, backward = np.empty((len(x), width, 2)), np.ones((len(x), width, 2))
         forward[:, 0] = np.stack([np.ones(len(x)), e[:, 0]], 1)
         forward[:, 0] /= forward[:, 0].sum(1, keepdims=True)
@@ -286,7 +376,7 @@ def _fit_chain(model: Model, place: np.ndarray, owner: np.ndarray, y: np.ndarray
         p = p[:, :, 1] / p.sum(2)
         off = gold - p
         grad = np.zeros_like(theta)
-        grad[:n_tokens] = np.bincount(flat[known], weights=off[known], minlength=n_tokens)
+        grad[:n_tokens] = np.bincount(flat[known], weights=np.broadcast_to(off[:, :, None], x.shape)[known], minlength=n_tokens)
         grad[n_tokens] = off.sum()
         after = backward[:, 1:].copy()
         after[:, :, 1] *= e[:, 1:]
@@ -298,15 +388,23 @@ def _fit_chain(model: Model, place: np.ndarray, owner: np.ndarray, y: np.ndarray
     model.weights, model.bias, model.step = theta[:n_tokens], float(theta[n_tokens]), theta[n_tokens + 1 :].reshape(2, 2)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Newton's method with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    """Newton's method with a small ridge; a step that does not lower the loss is halved."""
+
+    def loss(w: np.ndarray) -> float:
+        score = x @ w
+        return float((np.logaddexp(0, score) - y * score).sum() + ridge / 2 * (w @ w))
+
     w = np.zeros(x.shape[1])
-    for _ in range(50):
+    now = loss(w)
+    for _ in range(100):
         p = _sigmoid(x @ w)
-        change = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w)), x.T @ (y - p) - 1e-2 * w)
-        w = w + change.clip(-3, 3)
-        if np.abs(change).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        while (then := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if now - then < 1e-9:
             break
+        w, now = w + step, then
     return w
 
 
@@ -316,9 +414,9 @@ def score(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_evidence = model.score([])
         for batch, data, at in _vec.steps(batches):
-            start, end, h = tokens(data, at)
-            place = model.places(h)
-            hits = np.flatnonzero(place >= 0)
+            start, end, features = tokens(data, at)
+            hits, place = model.found(features)
+            emission = model.emission(place)
             scores = np.full(batch.num_rows, no_evidence)
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             begin = np.searchsorted(start, at)
@@ -326,7 +424,7 @@ def score(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id", t
             for lo, hi in _runs(owner):
                 d = owner[lo]
                 own = hits[lo:hi]
-                p = model.marginals(int(begin[d + 1] - begin[d]), (own - begin[d]).tolist(), place[own].tolist())
+                p = model.marginals(int(begin[d + 1] - begin[d]), (own - begin[d]).tolist(), emission[lo:hi].tolist())
                 scores[d] = model.score(p)
                 if any(x >= span_threshold for x in p):
                     points = np.cumsum((data[at[d] : at[d + 1]] & 0xC0) != 0x80)  # code points up to each byte
@@ -337,7 +435,7 @@ def score(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id", t
             )
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(id, text, held_out(F.col(id)).alias("held_out")).mapInArrow(run, f"`{id}` {kind}, held_out boolean, score double, predicted int, spans array<struct<start:bigint,end:bigint,p:double>>")
+    return df.select(F.col(id), F.col(text), held_out(F.col(id)).alias("held_out")).mapInArrow(run, f"`{id}` {kind}, held_out boolean, score double, predicted int, spans array<struct<start:bigint,end:bigint,p:double>>")
 
 
 def _runs(owner: np.ndarray) -> list[tuple[int, int]]:

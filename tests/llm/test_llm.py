@@ -716,6 +716,21 @@ def test_toxic_words_beside_unicode_punctuation_and_without_spaces(spark):
     assert all(w in f for w, f in zip(["moron"] * 3 + ["écume"] + ["笨蛋"] * 2, found, strict=True)) and not got[len(odd)].spans
 
 
+def test_other_inflections_of_a_toxic_stem(spark):
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("aeioubdfgklmnprst") for _ in range(6))
+    texts, y = [], []
+    for i in range(900):
+        w = prose(8000 + i, 60).split()
+        y.append(int(i % 5 == 0))
+        for _ in range(3 if y[i] else 0):
+            w.insert(rng.randrange(len(w)), "zwolk" + word())
+        texts.append(" ".join(w))
+    df, labels = documents(spark, texts), spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
+    rows = [r for r in toxicity.score(df, toxicity.learn(df, labels)).collect() if r.held_out]
+    assert all(r.predicted == y[r.doc_id] for r in rows) and all(texts[r.doc_id][s.start : s.end].startswith("zwolk") for r in rows for s in r.spans)
+
+
 def test_marginals_are_those_of_every_labelling():
     rng = np.random.default_rng(3)
     model = toxicity.Model(np.arange(3, dtype=np.uint64), rng.normal(0, 2, 3), -1.0, rng.normal(0, 1, (2, 2)), np.zeros(4))
@@ -728,7 +743,7 @@ def test_marginals_are_those_of_every_labelling():
             v = np.exp(sum(weights[i] for i in range(n) if s[i]) + sum(model.step[s[i], s[i + 1]] for i in range(n - 1)))
             total += v
             hit += v * np.array(s)
-        assert np.allclose(model.marginals(n, at, place), (hit / total)[at])
+        assert np.allclose(model.marginals(n, at, [model.bias + model.weights[p] for p in place]), (hit / total)[at])
 
 
 def test_labels_of_held_out_rows_are_not_used(spark):
