@@ -12,7 +12,7 @@ import itertools
 import logging
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +23,8 @@ from pairsmith.sources import interim
 
 log = logging.getLogger(__name__)
 _WORD = 62
+#: Candidate rules that are counted, and broadcast, at a time.
+CHUNK = 20_000
 
 
 @dataclass(frozen=True)
@@ -97,18 +99,25 @@ class Patterns:
 
 
 def candidate_rules(patterns: Patterns, groups: Groups, max_predicates: int = 2, min_new_tp: int = 5) -> list[Candidate]:
-    """Rules level by level; a rule is only extended by predicates of later groups, and only while its support suffices."""
+    """Rules level by level; a rule is only extended by predicates of later groups, and only while its support suffices.
+
+    A level is counted in chunks of ``CHUNK`` rules: the driver holds those of one chunk and
+    those that survived.
+    """
     group_of, _ = build_lookups(groups)
     names = [p for _, own in groups for p in own]
     out: list[Candidate] = []
-    level: list[Rule] = [(p,) for p in names]
+    level: Iterator[Rule] = ((p,) for p in names)
     for size in range(1, max(1, max_predicates) + 1):
-        counted = list(zip(level, patterns.counts(level), strict=True))
-        survivors = [(r, tp, pp) for r, (tp, pp) in counted if tp >= min_new_tp]
-        out += [Candidate(r, tp, pp) for r, tp, pp in survivors if pp > 0]
+        survivors: list[Rule] = []
+        for chunk in itertools.batched(level, CHUNK):
+            for rule, (tp, pp) in zip(chunk, patterns.counts(chunk), strict=True):
+                if tp >= min_new_tp:
+                    survivors.append(rule)
+                    out += [Candidate(rule, tp, pp)] if pp > 0 else []
         if not survivors or size == max_predicates:
             break
-        level = [(*r, p) for r, _, _ in survivors for p in names if group_of[p] > group_of[r[-1]]]
+        level = ((*r, p) for r in survivors for p in names if group_of[p] > group_of[r[-1]])
     return out
 
 

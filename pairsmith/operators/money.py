@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from pairsmith.config import PairColumns
 from pairsmith.functions.predicates import Rule, any_fires, first_hit, named, truth
 from pairsmith.operators.components import connected_components
+from pairsmith.sources import interim
 
 
 def node(columns: Sequence[str]) -> Column:
-    """The key of a document as one string."""
-    return F.concat_ws("|", *(named(c).cast("string") for c in columns))
+    """The key of a document as one string: its parts joined by bars, with bars and backslashes in them escaped and null as \\N."""
+    bar, slash = F.lit("|"), F.lit("\\")
+    parts = (F.replace(F.replace(named(c).cast("string"), slash, F.lit("\\\\")), bar, F.lit("\\|")) for c in columns)
+    return F.concat_ws("|", *(F.coalesce(p, F.lit("\\N")) for p in parts))
 
 
 def money(c: Column) -> Column:
@@ -47,10 +50,13 @@ def join_money(pairs: DataFrame, amounts: DataFrame, c: PairColumns = PairColumn
     return bare.join(once, list(c.key), "left").join(right, list(c.key_2), "left")
 
 
-def document_values(pairs: DataFrame, c: PairColumns = PairColumns()) -> DataFrame:
-    """(node, reimbursement, paid_out) of the documents of both sides: greatest amount (0 if unknown), paid if any row says so."""
+def document_values(pairs: DataFrame, c: PairColumns = PairColumns(), nodes: DataFrame | None = None) -> DataFrame:
+    """(node, reimbursement, paid_out) of the documents of both sides, or of the given nodes: greatest amount (0 if unknown), paid if any row says so."""
     sides = [pairs.select(node(k).alias("node"), money(named(c.reimbursement + s)).alias("r"), truth(c.paid_out + s).alias("p")) for k, s in ((c.key, ""), (c.key_2, c.suffix))]
-    return sides[0].union(sides[1]).groupBy("node").agg(F.max("r").cast("double").alias("reimbursement"), F.bool_or("p").alias("paid_out"))
+    both = sides[0].union(sides[1])
+    if nodes is not None:
+        both = both.join(nodes, "node", "left_semi")
+    return both.groupBy("node").agg(F.max("r").cast("double").alias("reimbursement"), F.bool_or("p").alias("paid_out"))
 
 
 def component_labels(pairs: DataFrame, c: PairColumns = PairColumns()) -> DataFrame:
@@ -104,11 +110,15 @@ def stepwise_net_value(df: DataFrame, rules: Sequence[Rule], review_cost: float,
 
     The components of all prefixes are found in one run: a true pair first found by
     rule k is an edge of the prefixes k, k + 1, ..., and a node carries its prefix.
-    Only true pairs take part.
+    Only true pairs take part, each pair of documents once, with its first rule: at most
+    as many rows as such pairs times rules.  Values are looked up for their documents only.
     """
-    values = document_values(df, c)
     true = df.withColumn("m", first_hit(rules)).filter((F.col("m") >= 0) & truth(c.label))
-    edges = true.select(F.explode(F.sequence("m", F.lit(len(rules) - 1))).alias("m"), node(c.key).alias("a"), node(c.key_2).alias("b"))
+    first = true.select("m", node(c.key).alias("a"), node(c.key_2).alias("b")).groupBy("a", "b").agg(F.min("m").alias("m"))
+    first = interim.stored(first, "first-edges")
+    found = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    values = document_values(df, c, found)
+    edges = first.select(F.explode(F.sequence("m", F.lit(len(rules) - 1))).alias("m"), "a", "b")
     prefix = F.lpad(F.col("m").cast("string"), 6, "0")
     labels = connected_components(edges.select(F.concat_ws("~", prefix, "a").alias("a"), F.concat_ws("~", prefix, "b").alias("b")))
     labels = labels.select(F.substring("node", 1, 6).cast("int").alias("m"), F.substr("node", F.lit(8)).alias("node"), F.substr("component", F.lit(8)).alias("component"))

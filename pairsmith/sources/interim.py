@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,14 +11,16 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Paths of the tables stored within each open scope, the innermost last.
-_scopes: list[list[str]] = []
+#: Paths of the tables stored within the innermost open scope of this thread or task.
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder is set only where none is, as in tests."""
+    """spark.checkpoint.dir; a temporary folder is set only where none is and all runs on one machine, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -44,8 +47,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write and reread: cuts the lineage, survives lost executors, and frees the shuffle files behind it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _scopes:
-        _scopes[-1].append(path)
+    if (paths := _scope.get()) is not None:
+        paths.append(path)
     with _shuffle_files_go(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,23 +64,21 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
 @contextlib.contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables stored within go at the end; nothing that reads them may be used after it."""
-    _scopes.append([])
+    token = _scope.set(paths := [])
     try:
         yield
     finally:
-        _delete(spark, _scopes.pop())
+        _scope.reset(token)
+        _delete(spark, paths)
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """Store what ``make`` returns, then delete the tables that were stored on its way."""
-    _scopes.append([])
-    try:
+    outer = _scope.get()
+    with scope(spark):
         df = make()
-    except BaseException:
-        _delete(spark, _scopes.pop())
-        raise
-    inner = _scopes.pop()
-    try:
-        return stored(df, name)
-    finally:
-        _delete(spark, inner)
+        token = _scope.set(outer)
+        try:
+            return stored(df, name)
+        finally:
+            _scope.reset(token)
