@@ -3,6 +3,12 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a
 DataFrame, which is written as Parquet and reread as the next stage's docs.  All but the
 last return the columns of ``documents``.
+
+Null texts have no words and go with the quality rules; so do empty texts and those of
+white space.  Long texts are handled whole.  Rows that repeat an identifier and a text are
+judged alike and are one document to the near-duplicate stage, which keeps or drops them
+together.  An empty table gives an empty table with each stage's columns.  Other columns
+travel in a struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = interim.settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), "stage")
-    return docs
+    def after(n: int) -> DataFrame:
+        """What the first n stages leave; the table of the stage before goes when the next one is stored."""
+        if n == 0:
+            return spark.read.parquet(f"{sf_dir}/documents.parquet")
+        return interim.settled(spark, lambda: STAGES[n - 1][1](spark, after(n - 1), sf_dir), "stage")
+
+    return after(len(STAGES))
