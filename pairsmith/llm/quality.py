@@ -9,7 +9,8 @@ covers are then set aside for the next rule.  The list becomes one ordered
 
 Only labelled statistics reach the driver: counts for each measure and bucket.
 
-Null text has no words.  Texts of one word, empty tables and tables without labels give
+Null text has no words.  A text of any length is measured whole, as arrays of its words
+within one row.  Texts of one word, empty tables and tables without labels give
 defined results: no labels, no learned rules.  Rows are judged one by one, so repeated
 rows get equal verdicts.  The row's own columns travel in a struct and cannot clash.
 """
@@ -137,8 +138,8 @@ def _learn(documents: DataFrame, labels: DataFrame, text: str, id: str, label: s
     values = measured(rows, text).select(base_failed().alias("failed"), F.col("row.bad").alias("bad"), (F.pmod(F.xxhash64(F.col("row.label_id"), F.lit("part")), F.lit(3)) != 0).alias("grow"), *(c.alias(n) for n, c in measures().items()))
     # the list decides on texts that pass the base rules, so it learns from those
     values = interim.stored(values, "quality-measures").filter("NOT failed")
-    shares = [i / cuts for i in range(1, cuts)]
-    found = values.agg(*(F.percentile_approx(n, shares, 1000).alias(n) for n in names), *(F.percentile_approx(F.when(F.col("bad"), F.col(n)), shares, 1000).alias(f"{n}_bad") for n in names)).first()
+    shares = [i / cuts for i in range(1, cuts)]  # exact, so that the rules are the same however rows are dealt
+    found = values.agg(*(F.percentile(n, shares).alias(n) for n in names), *(F.percentile(F.when(F.col("bad"), F.col(n)), shares).alias(f"{n}_bad") for n in names)).first()
     grid = {n: sorted({*(found[n] or []), *(found[f"{n}_bad"] or [])}) for n in names}
     if not any(grid.values()):
         return []

@@ -44,6 +44,8 @@ LEXICON_TOKENS = 2_000
 #: Toxic labelled documents that a feature of the lexicon stands in, and how far from chance.
 LEAST_TOXIC, LEAST_Z = 5, 6.5
 TRAINING_WINDOWS = 20_000
+#: Parts in which the windows anywhere are drawn.
+PARTS = 64
 #: Tokens on either side of a lexicon token in a training sequence.
 CONTEXT = 8
 
@@ -263,7 +265,7 @@ def _learn(documents: DataFrame, labels: DataFrame, text: str, id: str, label: s
     windows = rows.mapInArrow(lambda b: _windows(b, model, each), "centre int, draw long, x array<int>, toxic boolean")
     place = F.row_number().over(Window.partitionBy("centre").orderBy("draw", "x", "toxic"))
     # each token of the lexicon keeps some windows, and as many windows anywhere are taken beside them
-    kept = windows.withColumn("place", place).filter(F.col("place") <= F.when(F.col("centre") < 0, max_windows).otherwise(each)).select("centre", "x", "toxic").orderBy("centre", "x", "toxic").toArrow()
+    kept = windows.withColumn("place", place).filter(F.col("place") <= F.when(F.col("centre") < 0, max(1, max_windows // PARTS)).otherwise(each)).select("centre", "x", "toxic").orderBy("centre", "x", "toxic").toArrow()
     _fit_chain(model, np.array(kept.column("x").to_pylist(), dtype=np.int64), np.array(kept.column("toxic").to_pylist(), dtype=bool))
     facts = rows.mapInArrow(lambda b: _evidence(b, model), "e array<double>, y int").orderBy("y", "e").toArrow()
     model.document = _logistic(np.array(facts.column("e").to_pylist(), dtype=np.float64), np.array(facts.column("y").to_pylist(), dtype=np.float64))
@@ -301,7 +303,7 @@ def _lexicon(toxic_in: dict[int, int], in_all: dict[int, int], rate: float, most
 
 
 def _windows(batches: Iterator[pa.RecordBatch], model: Model, each: int) -> Iterator[pa.RecordBatch]:
-    """(centre's lexicon place or -1, draw, lexicon places of the tokens around it or -1, whether the text is toxic).
+    """(centre's lexicon place or a part below 0, draw, lexicon places of the tokens around it or -1, whether the text is toxic).
 
     At most ``each`` windows for each lexicon token of a step, the first by their draw, and
     as many anywhere.
@@ -326,7 +328,7 @@ def _windows(batches: Iterator[pa.RecordBatch], model: Model, each: int) -> Iter
         inside = (around >= 0) & (around < len(place))
         around = around.clip(0, len(place) - 1)
         x = np.where((inside & (owner[around] == owner[centres][:, None]))[:, :, None], place[around], -1).reshape(len(centres), -1)
-        centre = np.concatenate([main, np.full(len(anywhere), -1)]).astype(np.int32)
+        centre = np.concatenate([main, -1 - (draw[anywhere] % np.uint64(PARTS)).astype(np.int64)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(centre), pa.array(_vec.signed(draw[centres])), lists, pa.array(batch.column(2).to_numpy()[owner[centres]] == 1)], names=["centre", "draw", "x", "toxic"])
 
