@@ -115,5 +115,10 @@ def gather(table: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.nda
     return table[np.repeat(start[ids] - (ends - n), n) + np.arange(ends[-1])], ends
 
 
+def quoted(name: str) -> str:
+    """A column's name for a schema in text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)

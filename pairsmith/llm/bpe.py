@@ -166,7 +166,7 @@ def encode(df: DataFrame, text: str = "text", id: str = "doc_id", vocabulary: st
             ids = bpe.encode([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=[id, "ids"])
 
-    return df.select(id, text).mapInArrow(run, f"{_quoted(id)} {df.schema[id].dataType.simpleString()}, ids array<int>")
+    return df.select(id, text).mapInArrow(run, f"{_vec.quoted(id)} {df.schema[id].dataType.simpleString()}, ids array<int>")
 
 
 def decode(df: DataFrame, ids: str = "ids", id: str = "doc_id", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -178,7 +178,7 @@ def decode(df: DataFrame, ids: str = "ids", id: str = "doc_id", vocabulary: str
             texts = bpe.decode([np.array(x or [], dtype=np.int64) for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id, "text"])
 
-    return df.select(id, ids).mapInArrow(run, f"{_quoted(id)} {df.schema[id].dataType.simpleString()}, text string")
+    return df.select(id, ids).mapInArrow(run, f"{_vec.quoted(id)} {df.schema[id].dataType.simpleString()}, text string")
 
 
 def round_trip_digests(df: DataFrame, text: str = "text", id: str = "doc_id", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -198,8 +198,4 @@ def round_trip_digests(df: DataFrame, text: str = "text", id: str = "doc_id", vo
                 names=[id, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return df.select(F.col(id), F.col(text)).mapInArrow(run, f"{_quoted(id)} {df.schema[id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    return df.select(F.col(id), F.col(text)).mapInArrow(run, f"{_vec.quoted(id)} {df.schema[id].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

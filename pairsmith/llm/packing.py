@@ -128,7 +128,7 @@ def pack(
     small = _vocabulary_fits_16_bits(vocabulary) and end_id < 1 << 16
     columns_out = [id, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     kind = df.schema[id].dataType.simpleString()
-    schema = f"`{id}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long" + ", ids array<int>" * with_ids
+    schema = f"{_vec.quoted(id)} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long" + ", ids array<int>" * with_ids
     return df.select(id, text).mapInArrow(run, schema)
 
 

@@ -462,7 +462,7 @@ def find(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added_n, pa.int64()), pa.array(redacted, pa.string())], names=names)
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(F.col(id), F.col(text)).mapInArrow(run, f"`{id}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string")
+    return df.select(F.col(id), F.col(text)).mapInArrow(run, f"{_vec.quoted(id)} {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -13,7 +13,10 @@ filter and index, then one block found by binary search.
 
 Rows with a null identifier cannot be keyed: they are kept under the least identifier
 and read back with a null.  Null text counts as empty.  Rows that repeat an identifier
-stand next to each other, ordered by their ids.  Other columns are not read.
+stand next to each other, ordered by a hash of their text, and may fill several shards.
+A text of any length is one value of one shard; shards are read back whole, so a text of
+more than a billion tokens cannot be.  An empty table gives no shard and an empty table.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,8 +43,10 @@ ENTRY = struct.Struct("<BBI")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS_PER_KEY = 10
 BLOOM_HASHES = 7
-#: Bytes of source text for one shard.
+#: Bytes of source text for one shard, about; for terabytes take more, as the driver holds the bounds and names of all.
 SHARD_BYTES = 32 << 20
+#: Rows drawn for each shard, from which its bounds are read.
+DRAWN_PER_SHARD = 32
 
 
 def key_bytes(identifier: int) -> bytes:
@@ -151,32 +156,42 @@ MANIFEST = T.StructType([T.StructField(n, t) for n, t in (("shard", T.IntegerTyp
 def write(df: DataFrame, folder: str, text: str = "text", id: str = "doc_id", vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encode every text, append ``end_id`` and write shards to ``folder``; returns the stored manifest.
 
-    Bounds between shards are quantiles of the identifiers, so that shards hold about
-    equally many documents whatever the identifiers are.  Only ids are shuffled.
+    Shards are ranges of (identifier, hash of the text, place in the table), so rows of one
+    identifier can be divided.  Their bounds are read off rows drawn in proportion to their
+    bytes: a range of long texts has as many shards as its bytes ask for.  Only ids are
+    shuffled.
     """
     spark = df.sparkSession
-    total = df.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 8).alias("n")).first().n or 0
-    n_shards = max(1, -(-total // shard_bytes))
     least = -(1 << 63)
-    key = F.coalesce(F.col(id).cast("long"), F.lit(least))
-    bounds = []
+    size = F.coalesce(F.octet_length(text), F.lit(0)) + 8
+    rows = df.select(F.coalesce(F.col(id).cast("long"), F.lit(least)).alias("key"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("place"), size.alias("size"), F.col(text).alias("t"))
+    total = rows.agg(F.sum("size").alias("n")).first().n or 0
+    n_shards = max(1, -(-total // shard_bytes))
+    bounds: list[tuple[int, int, int]] = []
     if n_shards > 1:
-        shares = [i / n_shards for i in range(1, n_shards)]
-        bounds = sorted(set(df.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first().b or []))
+        step = max(1, total // (n_shards * DRAWN_PER_SHARD))  # bytes for each row drawn
+        luck = F.pmod(F.xxhash64("key", "h", "place"), F.lit(step))
+        drawn = rows.select("key", "h", "place", F.floor((F.col("size") + luck) / step).cast("long").alias("times")).filter("times > 0")
+        points = sorted((r.key, r.h, r.place, r.times) for r in drawn.collect())
+        held, want = 0, sum(p[3] for p in points) / n_shards
+        for *point, times in points:
+            held += times
+            if held >= want * (len(bounds) + 1) and len(bounds) < n_shards - 1:
+                bounds.append(tuple(point))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _tokens.library(_tokens.vocabulary_path(vocabulary), dtype)
         end = np.array([end_id], dtype=dtype).tobytes()
-        for batch, _, _ in _vec.steps(batches):
-            ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            shard = np.searchsorted(bounds, batch.column(0).to_numpy(), side="left") if bounds else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), batch.column(0), pa.array([x + end for x in ids], pa.binary())], names=["shard", "key", "ids"])
+        for batch, _, _ in _vec.steps(batches, text=3):
+            ids = encoder.encode([t or "" for t in batch.column(3).to_pylist()])
+            shard = [bisect.bisect_left(bounds, row) for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch.column(0), batch.column(1), pa.array([x + end for x in ids], pa.binary())], names=["shard", "key", "h", "ids"])
 
     dtype = "<u2" if _fits_16_bits(vocabulary, end_id) else "<u4"
     width = int(dtype[-1])
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((s, k, v) for b in batches for s, k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
+        rows = ((s, k, v) for b in batches for s, k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3), strict=True))
         for shard, group in itertools.groupby(rows, key=lambda r: r[0]):
             files, root = _file_system(folder)
             files.create_dir(root, recursive=True)
@@ -192,15 +207,15 @@ def write(df: DataFrame, folder: str, text: str = "text", id: str = "doc_id", vo
             files.move(draft, name)  # a task that runs again puts the same bytes in place
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (f"{folder}/shard-{shard:06d}.sst", pa.string()), (len(writer.keys), pa.int64()), (writer.n_values, pa.int64()), (first, pa.int64()), (last, pa.int64()))], names=MANIFEST.names)
 
-    ids = df.select(key.alias("key"), F.col(text)).mapInArrow(encoded, "shard int, key long, ids binary")
-    placed = ids.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "ids")
+    ids = rows.select("key", "h", "place", "t").mapInArrow(encoded, "shard int, key long, h long, ids binary")
+    placed = ids.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "h", "ids")
     return interim.stored(placed.mapInArrow(written, MANIFEST), "manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame, id: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Every document of the shards in a manifest: id, start (ids before it in the whole order), n_tokens, ids_crc32, ids."""
     least = -(1 << 63)
-    paths = [r.path for r in manifest.select("path").toLocalIterator()]
+    one = manifest.select("path").first()
     columns = ["path", id, "local_start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,14 +238,15 @@ def read(spark: SparkSession, manifest: DataFrame, id: str = "doc_id", with_ids:
         out = [pa.array([path.rsplit("/", 1)[-1]] * len(rows), pa.string()), *(pa.array(x, pa.int64()) for x in (k, start, n, crc))]
         return pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.list_(pa.int32()))] if with_ids else out, names=columns)
 
-    schema = f"path string, `{id}` long, local_start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    if not paths:
+    schema = f"path string, {_vec.quoted(id)} long, local_start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    if one is None:
         return spark.createDataFrame([], schema).withColumn("start", F.lit(0).cast("long")).drop("path", "local_start")
     before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     # one row for each shard of many MB
     bases = manifest.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.coalesce(before, F.lit(0)).alias("base"))
-    documents = spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(parsed, schema)
-    out = documents.join(F.broadcast(bases) if len(paths) <= 10_000 else bases, "path")
+    folder = one.path.rsplit("/", 1)[0]
+    documents = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.sst").load(folder).select("path", "content").mapInArrow(parsed, schema)
+    out = documents.join(F.broadcast(bases) if manifest.count() <= 10_000 else bases, "path")
     return out.select(id, (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
 

@@ -277,4 +277,4 @@ def without_repeats(df: DataFrame, text: str = "text", id: str = "doc_id", lengt
             yield pa.RecordBatch.from_arrays([*out, pa.array(kept, pa.binary())] if with_bytes else out, names=names)
 
     kind = df.schema[id].dataType.simpleString()
-    return joined.mapInArrow(cut, f"`{id}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)
+    return joined.mapInArrow(cut, f"{_vec.quoted(id)} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes)

@@ -437,7 +437,7 @@ def score(df: DataFrame, model: Model, text: str = "text", id: str = "doc_id", t
             )
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(F.col(id), F.col(text), held_out(F.col(id)).alias("held_out")).mapInArrow(run, f"`{id}` {kind}, held_out boolean, score double, predicted int, spans array<struct<start:bigint,end:bigint,p:double>>")
+    return df.select(F.col(id), F.col(text), held_out(F.col(id)).alias("held_out")).mapInArrow(run, f"{_vec.quoted(id)} {kind}, held_out boolean, score double, predicted int, spans array<struct<start:bigint,end:bigint,p:double>>")
 
 
 def _runs(owner: np.ndarray) -> list[tuple[int, int]]:

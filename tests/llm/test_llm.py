@@ -162,7 +162,7 @@ def test_shards(spark, tmp_path):
     plain = library("byte_bpe_50k.json")
     got = sorted(sst.read(spark, manifest).collect(), key=lambda r: r.start)
     expected = sorted((i, plain.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in zip(ids, texts, strict=True))
-    assert [(r.doc_id, r.ids) for r in got] == expected
+    assert sorted((r.doc_id, r.ids) for r in got) == expected and [r.doc_id for r in got] == [i for i, _ in expected]
     at = 0
     for r in got:
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(r.ids), zlib.crc32(struct.pack(f"<{len(r.ids)}I", *r.ids)))
@@ -171,6 +171,19 @@ def test_shards(spark, tmp_path):
     assert sst.lookup(spark, manifest, 6) is None and sst.lookup(spark, manifest, 2**41) is None
 
 
+def test_shards_of_one_identifier_and_of_long_texts(spark, tmp_path):
+    """A repeated identifier and a range of long texts are divided; shards stay near the size asked for."""
+    texts = [prose(i, 40) for i in range(300)] + ["same"] * 200 + [prose(i, 2000) for i in range(20)]
+    ids = [7] * 300 + [None] * 200 + list(range(100, 120))
+    manifest = sst.write(documents(spark, texts, ids), f"file://{tmp_path}/shards", shard_bytes=20_000)
+    shards = {r.shard: r for r in manifest.collect()}
+    assert sum(r.first_id <= 7 <= r.last_id for r in shards.values()) > 2 and max(r.n_docs for r in shards.values() if r.first_id == 7) < 300
+    got = sorted(sst.read(spark, manifest).collect(), key=lambda r: r.start)
+    plain = library("byte_bpe_50k.json")
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((i, tuple([*plain.encode(t, add_special_tokens=False).ids, 0])) for i, t in zip(ids, texts, strict=True))
+    assert [r.doc_id for r in got] == [None] * 200 + [7] * 300 + list(range(100, 120)) and all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
+
+
 def test_shard_format():
     writer = sst.ShardWriter(2)
     values = {i * 3 - 50: np.arange(i % 900, dtype="<u2") for i in range(700)}
