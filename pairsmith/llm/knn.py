@@ -15,11 +15,13 @@ Vectors that are null, or hold null or non-finite components, take no part; nor
 pair of different dimensions.  Ties go to the smaller identifier.  Null identifiers take
 no part.  Repeated rows of one identifier count each; a query ignores all rows of its own
 identifier.  Equal query rows are scored once and their results repeated as often as there
-are rows, among which the k best are chosen.  Components scaled to integers must give scores below 2**53.
+are rows, among which the k best are chosen.  Scores of 2**53 or more, which doubles cannot
+tell apart, are an error.  An empty table gives an empty table.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,8 @@ from pyspark.sql import functions as F
 
 from pairsmith.sources import interim
 
-#: Pivots, the first by a hash of the identifier: a bounded sample that shapes cells, never results.
-PIVOTS = 64
+#: Least and most pivots, the first vectors by a hash of the identifier: a bounded sample that shapes cells, never results.
+PIVOTS, MOST_PIVOTS = 64, 4096
 #: Vectors in a block of data and in a group of queries.
 BLOCK_ROWS = 4096
 QUERY_ROWS = 4096
@@ -48,14 +50,20 @@ def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
     return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
 
 
-def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", k: int = 5, every: int = 50, scale: float = 256.0, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best for every row whose identifier ``every`` divides."""
+def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", k: int = 5, every: int = 50, scale: float = 256.0, pivots: int | None = None, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best for every row whose identifier ``every`` divides.
+
+    Without a number of pivots there are half as many as the root of the number of rows,
+    so that cells grow in number as in size.
+    """
     return interim.settled(df.sparkSession, lambda: _top_k(df, vector, id, k, every, scale, pivots, block_rows, query_rows), "top-k")
 
 
-def _top_k(df: DataFrame, vector: str, id: str, k: int, every: int, scale: float, pivots: int, block_rows: int, query_rows: int) -> DataFrame:
+def _top_k(df: DataFrame, vector: str, id: str, k: int, every: int, scale: float, pivots: int | None, block_rows: int, query_rows: int) -> DataFrame:
     spark = df.sparkSession
     vectors = integer_vectors(df, vector, id, scale)
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(df.count()) // 2))
     chosen = vectors.withColumn("dim", F.size("v")).orderBy(F.xxhash64("id"), "id").limit(pivots).select("dim", "v").collect()
     centres = {d: np.array([r.v for r in chosen if r.dim == d], dtype=np.float64).reshape(-1, d) for d in {r.dim for r in chosen}}
 
@@ -79,6 +87,8 @@ def _top_k(df: DataFrame, vector: str, id: str, k: int, every: int, scale: float
     data = interim.stored(vectors.mapInArrow(cells, "id long, v array<double>, dim int, cell int, far double, norm double"), "vectors")
     # at most pivots rows for each dimension
     summary = data.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm"), F.count_if(F.col("id") % every == 0).alias("nq")).collect()
+    if any(r.norm**2 >= 2**53 for r in summary):
+        raise ValueError("scores may reach 2**53")
     blocks = {(r.dim, r.cell): max(1, -(-r.n // block_rows)) for r in summary}
     first_group, groups = _query_groups(summary, query_rows)
     if not summary:
@@ -106,15 +116,15 @@ def _top_k(df: DataFrame, vector: str, id: str, k: int, every: int, scale: float
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each query the other cells that can still hold one of its k best."""
         for batch in batches:
-            ids, rows, dims, own, floors = (batch.column(i).to_pylist() for i in range(5))
+            rows, dims, own, floors, selves = (batch.column(i).to_pylist() for i in (1, 2, 3, 4, 7))
             out_id, out_cell = [], []
             for d in set(dims):
                 at = [i for i, x in enumerate(dims) if x == d]
                 lower, upper, names, n = bounds([rows[i] for i in at], d)
                 for j, i in enumerate(at):
                     order = np.argsort(-lower[j], kind="stable")
-                    # k + 1 members, as one of them may be the query; repeated rows of it come on top
-                    enough = np.searchsorted(np.cumsum(n[order]), k + 1 + repeats)
+                    # k members besides all rows of the query's identifier
+                    enough = np.searchsorted(np.cumsum(n[order]), k + selves[i])
                     floor = lower[j][order[enough]] if enough < len(order) else -np.inf
                     floor = max(floor, floors[i] if floors[i] is not None else -np.inf)
                     for c in np.flatnonzero(upper[j] >= floor):
@@ -124,12 +134,11 @@ def _top_k(df: DataFrame, vector: str, id: str, k: int, every: int, scale: float
             take = pa.array(out_id, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), batch.column(5).take(take), pa.array(out_cell, pa.int32()), batch.column(6).take(take)], names=["id", "dim", "group", "cell", "row"])
 
-    most = data.groupBy("id").count().agg(F.max("count")).first()[0]
-    repeats = max(0, (most or 1) - 1)
+    own_rows = data.filter(F.col("id") % every == 0).groupBy(F.col("id").alias("self")).agg(F.count("*").alias("selves"))
     own = queries.select("id", "dim", "group", "cell", "row")
     first = interim.stored(_searched(data, queries, own, blocks, k, counts_of), "first-scores")
     floors = _best(first, k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    known = queries.join(floors, queries.id == floors.query_id, "left").select("id", "v", "dim", "cell", F.col("floor").cast("double").alias("floor"), "group", "row")
+    known = queries.join(floors, queries.id == floors.query_id, "left").join(own_rows, F.col("id") == F.col("self")).select("id", "v", "dim", "cell", F.col("floor").cast("double").alias("floor"), "group", "row", "selves")
     more = known.mapInArrow(needed, "id long, dim int, `group` int, cell int, row long")
     second = _searched(data, queries, interim.stored(more, "needed-cells"), blocks, k, counts_of)
     return _best(first.unionByName(second), k)
