@@ -69,7 +69,7 @@ raw_pairs AS (
     CASE WHEN a.brands IS NOT NULL AND b.brands IS NOT NULL THEN len(list_intersect(a.brands, b.brands)) > 0 END AS overlap_0_brands
   FROM docs a JOIN docs b ON a.agreement_id = b.agreement_id AND a.k > b.k
 ),
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT *, CASE WHEN (k * 7 + k_2 * 13) % 10 >= 5 THEN
       CASE WHEN coalesce(eq_status, false)::INT + eq_priority::INT + coalesce("prop_0.8_price", false)::INT + dist_2_date::INT >= 2 THEN (k * 7 + k_2 * 13) % 10 <> 9 ELSE (k * 7 + k_2 * 13) % 10 = 8 END END AS label
   FROM raw_pairs
@@ -208,7 +208,7 @@ def _candidates(levels: int) -> str:
     union = " UNION ALL ".join(f"SELECT {n} AS level, " + ", ".join(f"p{i}" if i < n else f"NULL::INT AS p{i}" for i in range(levels)) + f", tp, pp FROM l{n}" for n in range(1, levels + 1))
     name = " || ".join([f"(SELECT name FROM pred WHERE idx = p{i})" if i == 0 else f"coalesce(' & ' || (SELECT name FROM pred WHERE idx = p{i}), '')" for i in range(levels)])
     order = ", ".join(f"p{i}" for i in range(levels))
-    return f"{pred}, {pat}, {', '.join(_level(n) for n in range(1, levels + 1))}, u AS ({union}), cand AS (SELECT (row_number() OVER (ORDER BY level, {order}) - 1)::INT AS rule_id, {name} AS rule, tp, pp, tp::DOUBLE / pp AS precision FROM u)"
+    return f"{pred}, {pat}, {', '.join(_level(n) for n in range(1, levels + 1))}, u AS ({union}), placed AS (SELECT (row_number() OVER (ORDER BY level, {order}) - 1)::INT AS rule_id, {name} AS rule, tp, pp, tp::DOUBLE / pp AS precision, {order} FROM u), cand AS (SELECT rule_id, rule, tp, pp, precision FROM placed)"
 
 
 _CANDIDATE = "rule_id int, rule string, tp long, pp long, precision double"
@@ -238,7 +238,23 @@ def candidate_cutoff(spark, sf):
     return spark.createDataFrame(_candidate_rows(M.cut_candidates(_mined(spark, sf, 2)[1], 20)), _CANDIDATE)
 
 
-@query()
+_GREEDY = f"""{_candidates(2)}, fired AS MATERIALIZED (
+  SELECT pid, any_value(n) AS n, any_value(n_pos) AS n_pos, list(rule_id) AS rules FROM (SELECT row_number() OVER () AS pid, * FROM pat) JOIN placed ON b[p0 + 1] AND coalesce(b[p1 + 1], true) GROUP BY 1
+), goal AS (SELECT sum(n_pos) AS p, ceil(0.9::DOUBLE * sum(n_pos)) AS target FROM pat),
+greedy AS (
+  SELECT 0 AS step, []::INT[] AS chosen, NULL::INT AS rule_id, 0::BIGINT AS tp, 0::BIGINT AS pp
+  UNION ALL
+  SELECT step + 1, list_append(chosen, best), best, tp, pp FROM (
+    SELECT step, chosen, best, greedy.tp + sum(n_pos)::BIGINT AS tp, greedy.pp + sum(n)::BIGINT AS pp
+    FROM greedy, goal, (SELECT n, n_pos, rules, unnest(rules) AS best FROM fired)
+    WHERE greedy.tp < target AND NOT list_has_any(rules, chosen)
+    GROUP BY step, chosen, best, greedy.tp, greedy.pp, target
+    HAVING sum(n_pos) >= greatest(5, floor((target - greedy.tp) * 0.01::DOUBLE))
+  ) QUALIFY row_number() OVER (ORDER BY tp::DOUBLE / pp DESC, best) = 1
+)"""
+
+
+@query(_GREEDY + " SELECT (step - 1)::INT AS step, rule, greedy.tp::DOUBLE / greedy.pp AS precision, greedy.tp::DOUBLE / p AS recall, greedy.tp, greedy.pp FROM greedy JOIN cand ON greedy.rule_id = cand.rule_id, goal")
 def greedy_composition(spark, sf):
     patterns, found = _mined(spark, sf, 2)
     return spark.createDataFrame(M.find_composition(found, patterns, 0.9, 5).rows(), M.Composition.SCHEMA)
@@ -268,7 +284,24 @@ def unique_tp(spark, sf):
     return spark.createDataFrame(list(enumerate(M.unique_true_positives(RULES, patterns))), "rule_id int, unique_tp long")
 
 
-@query()
+def _pruned(rules, start: str, table: str) -> str:
+    """kept: the rules left of the list ``start`` after removing, again and again, the first without a positive of its own."""
+    return f"""positive AS MATERIALIZED (SELECT list_filter([{", ".join(f"CASE WHEN {_fires(r)} THEN {i} END" for i, r in enumerate(rules))}], lambda x: x IS NOT NULL) AS fired FROM {table} WHERE {_Y} GROUP BY 1),
+pruning AS (
+  SELECT 0 AS step, {start} AS kept
+  UNION ALL
+  SELECT step + 1, list_filter(kept, lambda x: x <> idle) FROM (
+    SELECT step, kept, idle FROM (SELECT step, kept, unnest(kept) AS idle FROM pruning) LEFT JOIN positive ON list_contains(fired, idle) AND len(list_intersect(fired, kept)) = 1
+    GROUP BY 1, 2, 3 HAVING count(fired) = 0
+  ) QUALIFY row_number() OVER (ORDER BY list_position(kept, idle)) = 1
+), kept AS (SELECT unnest(kept) AS rule_id FROM (SELECT arg_max(kept, step) AS kept FROM pruning))"""
+
+
+def _names(rules) -> str:
+    return f"{_rows([(i, ' & '.join(r)) for i, r in enumerate(rules)])} AS t(rule_id, rule)"
+
+
+@query(_pruned(NESTED, f"range({len(NESTED)})::INT[]", "pairs") + f" SELECT rule FROM kept JOIN {_names(NESTED)} ON t.rule_id = kept.rule_id")
 def redundant_removed(spark, sf):
     patterns = M.Patterns(X.pairs(spark, sf), X.NAMES)
     return spark.createDataFrame([(" & ".join(r),) for r in M.remove_redundant(NESTED, patterns)], "rule string")
@@ -468,12 +501,43 @@ def _evaluated(spark, sf) -> pipeline.EvaluationResult:
     return pipeline.evaluate(X.pairs(spark, sf), amounts, RULES, CONFIG)
 
 
-@query()
+def _evaluation() -> str:
+    """The window with the amounts of the documents that the rules find, the steps on it, and the best of them."""
+    keys = ("stack_id", "doc_id", "sub_doc_id")
+    same = lambda t, s: " AND ".join(f"p.{k}{s} = {t}.{k}" for k in keys)
+    window = f"""narrow AS (SELECT * FROM pairs WHERE {_BASE} AND {_WINDOW}),
+flagged AS (SELECT {", ".join(keys)} FROM narrow WHERE {_any(RULES)} UNION SELECT {", ".join(k + "_2" for k in keys)} FROM narrow WHERE {_any(RULES)}),
+amounts AS (SELECT {", ".join("docs." + k for k in keys)}, max(docs.reimbursement) AS amount FROM docs JOIN flagged USING ({", ".join(keys)}) GROUP BY ALL),
+win AS MATERIALIZED (
+  SELECT p.* EXCLUDE (reimbursement, reimbursement_2), a.amount AS reimbursement, b.amount AS reimbursement_2
+  FROM narrow p LEFT JOIN amounts a ON {same("a", "")} LEFT JOIN amounts b ON {same("b", "_2")} WHERE least(a.amount, b.amount) IS NULL OR least(a.amount, b.amount) > 1000
+)"""
+    return f"{window}, {_STEPWISE.replace('FROM pairs', 'FROM win')}, best AS (SELECT * FROM nv ORDER BY nv_total DESC, m LIMIT 1)"
+
+
+_SPLIT = ", ".join(f"count(*) FILTER (stack_id {op} stack_id_2 AND {what})::DOUBLE AS {side}_stack_{name}" for side, op in (("in", "="), ("out", "<>")) for name, what in (("total_positives", _Y), ("pos_pred", "chosen"), ("true_positives", f"chosen AND {_Y}")))
+
+
+@query(
+    _evaluation()
+    + f""", judged AS (SELECT *, {_first(RULES)} BETWEEN 0 AND (SELECT m FROM best) AS chosen FROM win), split AS (SELECT {_SPLIT}, count(*)::DOUBLE AS window_total_pairs, count(*) FILTER ({_Y})::DOUBLE AS window_total_positives FROM judged)
+SELECT (m + 1)::DOUBLE AS optimum_step, pp::DOUBLE AS optimum_pos_pred_pair_count, tp::DOUBLE AS optimum_true_positive_pair_count, savings_total AS optimum_total_savings, savings_paid AS optimum_paid_out_savings,
+  nv_total AS optimum_net_value_total, nv_paid AS optimum_net_value_paid_out, split.* FROM best, split"""
+)
 def evaluation_metrics(spark, sf):
     return _evaluated(spark, sf).metrics
 
 
-@query()
+def _undominated(rules) -> str:
+    """left_over: rules of the best prefix that no other one of it dominates, of equal ones the first."""
+    group_of, loose = P.build_lookups(X.GROUPS)
+    rows = _rows([(i, p, group_of[p], loose[p], len(r)) for i, r in enumerate(rules) for p in r])
+    return f"""rp AS (SELECT t.* FROM {rows} AS t(rule_id, predicate, grp, loose, n), best WHERE rule_id <= best.m), ids AS (SELECT DISTINCT rule_id, n FROM rp),
+dom AS (SELECT a.rule_id AS i, b.rule_id AS j FROM ids a, ids b WHERE a.rule_id <> b.rule_id AND a.n <= b.n AND NOT EXISTS (SELECT 1 FROM rp x WHERE x.rule_id = a.rule_id AND NOT EXISTS (SELECT 1 FROM rp y WHERE y.rule_id = b.rule_id AND y.grp = x.grp AND x.loose >= y.loose))),
+left_over AS (SELECT rule_id FROM ids WHERE NOT EXISTS (SELECT 1 FROM dom d WHERE d.j = ids.rule_id AND (d.i < d.j OR NOT EXISTS (SELECT 1 FROM dom e WHERE e.i = d.j AND e.j = d.i))))"""
+
+
+@query(f"{_evaluation()}, {_undominated(RULES)}, {_pruned(RULES, '(SELECT list(rule_id ORDER BY rule_id)::INT[] FROM left_over)', 'win')} SELECT (row_number() OVER (ORDER BY kept.rule_id) - 1)::INT AS place, rule FROM kept JOIN {_names(RULES)} ON t.rule_id = kept.rule_id")
 def optimum_rules(spark, sf):
     return spark.createDataFrame([(i, " & ".join(r)) for i, r in enumerate(_evaluated(spark, sf).optimum_rules)], "place int, rule string")
 
