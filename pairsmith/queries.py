@@ -332,6 +332,22 @@ def flatfile_join(spark, sf):
     return X.pairs(spark, sf).join(flat, ["doc_id", "sub_doc_id"], "left").join(right, ["doc_id_2", "sub_doc_id_2"], "left").select("k", "k_2", "n_lines", "n_lines_2", "quantity", "quantity_2")
 
 
+_FILED = "filed AS (SELECT year(o_orderdate)::VARCHAR AS year, o_orderkey::VARCHAR AS number, '1' AS part_no, o_orderpriority AS urgency, max(o_orderstatus) AS status FROM orders GROUP BY ALL)"
+
+
+@query(_FILED + " SELECT k, k_2, a.status, b.status AS status_2 FROM pairs p LEFT JOIN filed a ON p.stack_id = a.year AND p.doc_id = a.number AND p.sub_doc_id = a.part_no AND p.lar = a.urgency LEFT JOIN filed b ON p.stack_id_2 = b.year AND p.doc_id_2 = b.number AND p.sub_doc_id_2 = b.part_no AND p.lar_2 = b.urgency")
+def four_key_join(spark, sf):
+    """Attributes from a glob of files, by four keys that have other names there."""
+    orders = S.read_pairs(spark, f"{sf}/order*.parquet", columns=["o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus"])
+    filed = orders.groupBy(F.year("o_orderdate").cast("string").alias("year"), F.col("o_orderkey").cast("string").alias("number"), F.lit("1").alias("part_no"), F.col("o_orderpriority").alias("urgency")).agg(F.max("o_orderstatus").alias("status"))
+    out, keys = X.pairs(spark, sf), ("stack_id", "doc_id", "sub_doc_id", "lar")
+    for side in ("", "_2"):
+        other = filed.select(*(F.col(c).alias(f"f_{c}{side}") for c in filed.columns))
+        on = [F.col(k + side) == F.col(f"f_{c}{side}") for k, c in zip(keys, ("year", "number", "part_no", "urgency"), strict=True)]
+        out = out.join(other, on, "left")
+    return out.select("k", "k_2", F.col("f_status").alias("status"), F.col("f_status_2").alias("status_2"))
+
+
 @query(_ONE + "SELECT k, k_2, c_name FROM pairs LEFT JOIN customer ON agreement_id::VARCHAR = c_custkey::VARCHAR")
 def string_key_join(spark, sf):
     mapping = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_name")

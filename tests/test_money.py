@@ -1,5 +1,6 @@
 """Components, savings, net value, filters and estimates on small tables."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -19,42 +20,70 @@ def pair_table(spark, edges, amounts, paid, masks=None, labels=None):
     return spark.createDataFrame(rows, schema + "".join(f", {n} boolean" for n in names)), [(n,) for n in names]
 
 
-@pytest.mark.parametrize(
-    ("edges", "amounts", "paid", "expected"),
-    [
-        ([], {}, {}, (0, 0)),
-        ([("a", "b")], {"a": 30.0, "b": 100.0}, {"a": True}, (30, 30)),
-        ([("a", "b")], {"a": 50.0, "b": 200.0}, {"a": False, "b": True}, (50, 0)),
-        ([("a", "b"), ("b", "c")], {"a": 10.0, "b": 20.0, "c": 30.0}, {"a": True, "b": True, "c": True}, (30, 30)),
-        ([("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")], {"a": 5.0, "b": 10.0, "c": 20.0, "d": 100.0}, {"a": False, "b": True, "c": True, "d": True}, (35, 30)),
-        ([("a", "b"), ("c", "d")], {"a": 10.0, "b": 50.0, "c": 30.0, "d": 200.0}, dict.fromkeys("abcd", True), (40, 40)),
-        ([("a", "b")], {"a": 50.0}, {}, (0, 0)),
-        ([("a", "a")], {"a": 50.0}, {"a": True}, (0, 0)),
-        ([("a", "b")], {"a": 50.0, "b": 50.0}, {"a": True, "b": False}, (50, 0)),
-    ],
-)
-def test_component_savings(spark, edges, amounts, paid, expected):
+def plain_savings(edges, amounts, paid):
+    """Components by flooding; all but the dearest document of each are saved, the least key staying on a tie."""
+    left, total, settled = {x for e in edges for x in e}, 0.0, 0.0
+    while left:
+        own = {min(left)}
+        while more := {y for e in edges for y in e if set(e) & own} - own:
+            own |= more
+        left -= own
+        top = min(own, key=lambda x: (-(amounts.get(x) or 0.0), x))
+        total += sum(amounts.get(x) or 0.0 for x in own - {top})
+        settled += sum(amounts.get(x) or 0.0 for x in own - {top} if paid.get(x))
+    return total, settled
+
+
+def random_graph(rng, n):
+    names = "abcdefghijkl"[:n]
+    edges = [tuple(rng.choices(names, k=2)) for _ in range(rng.randint(1, n))]
+    return edges, {x: rng.choice([None, 10.0, 20.0, 35.5]) for x in names}, {x: rng.choice([True, False, None]) for x in names}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_component_savings(spark, seed):
+    edges, amounts, paid = random_graph(random.Random(seed), 12)
     df, _ = pair_table(spark, edges, amounts, paid)
     row = money.component_savings(df, money.document_values(df)).first()
-    assert (row.savings_total, row.savings_paid) == expected
-
-
-@pytest.mark.parametrize(
-    ("edges", "amounts", "paid", "masks", "labels", "cost", "expected"),
-    [
-        ([("a", "b"), ("c", "d")], {"a": 10.0, "b": 100.0, "c": 30.0, "d": 200.0}, dict.fromkeys("abcd", True), ["10", "01"], "11", 2, [(1, 1, 10, 10, 8, 8), (2, 2, 40, 40, 36, 36)]),
-        ([("a", "b")], {"a": 100.0, "b": 200.0}, {}, ["1"], "0", 5, [(1, 0, 0, 0, -5, -5)]),
-        ([("a", "b")], {"a": 10.0, "b": 100.0}, {"a": False, "b": True}, ["1"], "1", 1, [(1, 1, 10, 0, 9, -1)]),
-        ([("a", "b")], {"b": 50.0}, {}, ["1"], "1", 1, [(1, 1, 0, 0, -1, -1)]),
-        ([("a", "b"), ("b", "c"), ("c", "d")], {"a": 10.0, "b": 20.0, "c": 30.0, "d": 40.0}, dict.fromkeys("abcd", True), ["100", "010", "001"], "111", 0, [(1, 1, 10, 10, 10, 10), (2, 2, 30, 30, 30, 30), (3, 3, 60, 60, 60, 60)]),
-    ],
-)
-def test_stepwise_net_value(spark, edges, amounts, paid, masks, labels, cost, expected):
+    assert (row.savings_total, row.savings_paid) == plain_savings(edges, amounts, paid)
+
+
+def test_no_pairs_save_nothing(spark):
+    df, _ = pair_table(spark, [], {}, {})
+    row = money.component_savings(df, money.document_values(df)).first()
+    assert (row.savings_total, row.savings_paid) == (0, 0)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stepwise_net_value(spark, seed):
+    """Each prefix of three random rules against flooding over the true pairs that it finds."""
+    rng = random.Random(seed)
+    edges, amounts, paid = random_graph(rng, 10)
+    masks = ["".join(rng.choice("001") for _ in edges) for _ in range(3)]
+    labels = "".join(rng.choice("011") for _ in edges)
     df, rules = pair_table(spark, edges, amounts, paid, masks, labels)
-    rows = money.stepwise_net_value(df, rules, cost).orderBy("m").collect()
+    expected = []
+    for m in range(3):
+        found = [k for k in range(len(edges)) if any(mask[k] == "1" for mask in masks[: m + 1])]
+        true = [edges[k] for k in found if labels[k] == "1"]
+        total, settled = plain_savings(true, amounts, paid)
+        expected.append((len(found), len(true), total, settled, total - 3.0 * len(found), settled - 3.0 * len(found)))
+    rows = money.stepwise_net_value(df, rules, 3.0).orderBy("m").collect()
     assert [(r.pp, r.tp, r.savings_total, r.savings_paid, r.nv_total, r.nv_paid) for r in rows] == expected
 
 
+def test_keys_with_nulls_and_bars_are_documents_of_their_own(spark):
+    keys = [("a", None, "b"), ("a", "b", None), ("a|b", "c", "d"), ("a", "b|c", "d"), ("a", "\\N", "b"), ("a\\", "|b", "c"), ("a", "\\|b", "c"), ("s", "k", "1")]
+    df = spark.createDataFrame(keys, "stack_id string, doc_id string, sub_doc_id string")
+    nodes = [r.n for r in df.select(money.node(["stack_id", "doc_id", "sub_doc_id"]).alias("n")).collect()]
+    assert len(set(nodes)) == len(keys) and nodes[-1] == "s|k|1"
+    pairs = [(*a, *b, 1.0, 2.0, True, True, True) for a, b in zip(keys[::2], keys[1::2], strict=True)]
+    table = spark.createDataFrame(pairs, "stack_id string, doc_id string, sub_doc_id string, stack_id_2 string, doc_id_2 string, sub_doc_id_2 string, reimbursement double, reimbursement_2 double, paid_out boolean, paid_out_2 boolean, label boolean")
+    assert money.component_labels(table).select("component").distinct().count() == 4
+    row = money.component_savings(table, money.document_values(table)).first()
+    assert (row.savings_total, row.savings_paid) == (4.0, 4.0)
+
+
 def test_document_values(spark):
     df, _ = pair_table(spark, [("a", "b"), ("b", "c")], {"a": 5.0, "c": 7.0}, {"a": True})
     assert {(r.node, r.reimbursement, r.paid_out) for r in money.document_values(df).collect()} == {("s|a|1", 5.0, True), ("s|b|1", 0.0, False), ("s|c|1", 7.0, False)}
@@ -129,3 +158,10 @@ def test_config_is_checked():
     with pytest.raises(ValueError):
         Config(learning=Learning(max_predicates_per_rule=0))
     assert Filters(train_start=datetime(2020, 1, 1)).train_end is None
+
+
+def test_a_database_gives_back_what_it_got(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = [(1, "one"), (2, "two"), (3, None)]
+    S.write_database(spark.createDataFrame(rows, "code int, name string"), url, "mapping", driver=driver)
+    assert sorted(map(tuple, S.read_database(spark, url, 'SELECT * FROM mapping WHERE "code" > 1', driver=driver).collect())) == rows[1:]
