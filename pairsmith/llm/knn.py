@@ -45,9 +45,9 @@ def integer_vectors(df: DataFrame, vector: str, id: str, scale: float) -> DataFr
     return df.filter(usable).select(F.col(id).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
 
-def _matrix(column: pa.Array | pd.Series) -> np.ndarray:
-    rows = column.to_pylist() if isinstance(column, pa.Array) else list(column)
-    return np.array(rows, dtype=np.float64).reshape(len(rows), -1)
+def _matrix(column: list | pd.Series) -> np.ndarray:
+    rows = list(column)
+    return np.array(rows, dtype=np.float64).reshape(len(rows), len(rows[0]) if rows else 0)
 
 
 def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", k: int = 5, every: int = 50, scale: float = 256.0, pivots: int | None = None, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -65,7 +65,7 @@ def _top_k(df: DataFrame, vector: str, id: str, k: int, every: int, scale: float
     if pivots is None:
         pivots = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(df.count()) // 2))
     chosen = vectors.withColumn("dim", F.size("v")).orderBy(F.xxhash64("id"), "id").limit(pivots).select("dim", "v").collect()
-    centres = {d: np.array([r.v for r in chosen if r.dim == d], dtype=np.float64).reshape(-1, d) for d in {r.dim for r in chosen}}
+    centres = {d: _matrix([r.v for r in chosen if r.dim == d]) for d in {r.dim for r in chosen}}
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
