@@ -17,7 +17,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 2**64)
 #: Bytes of text that one numpy step handles; a longer document is a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 
 _powers: dict[int, np.ndarray] = {}
 
