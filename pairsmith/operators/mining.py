@@ -15,6 +15,8 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from pairsmith.sources import interim
 
 log = logging.getLogger(__name__)
 _WORD = 62
-#: Candidate rules that are counted, and broadcast, at a time.
+_RULES_AT_ONCE = 512
+#: Candidate rules that are counted at a time.
 CHUNK = 20_000
 
 
@@ -88,13 +91,28 @@ class Patterns:
         """(true positives, positive predictions) of each rule over the patterns that meet ``where``."""
         if not rules:
             return []
-        schema = "rule_id int, " + ", ".join(f"m{w} long" for w in range(len(self.columns)))
-        masks = F.broadcast(self.spark.createDataFrame([(i, *self.masks(r)) for i, r in enumerate(rules)], schema))  # a bounded candidate list
+        masks = np.array([self.masks(r) for r in rules], dtype=np.int64)
+        n_words = len(self.columns)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """(rule_id, tp, pp) over each batch of (bits, ..., n_pos, n) for the rules that fire in it."""
+            for batch in batches:
+                bits = [batch.column(w).to_numpy() for w in range(n_words)]
+                sums = np.stack([batch.column(n_words + k).to_numpy() for k in (0, 1)])
+                parts = []
+                for first in range(0, len(masks), _RULES_AT_ONCE):
+                    part = masks[first : first + _RULES_AT_ONCE]
+                    fires = np.ones((batch.num_rows, len(part)), dtype=bool)
+                    for w in range(n_words):
+                        fires &= (bits[w][:, None] & part[:, w]) == part[:, w]
+                    parts.append(sums @ fires)  # whole numbers throughout
+                tp, pp = np.concatenate(parts, axis=1)
+                some = np.flatnonzero(pp)
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(tp[some]), pa.array(pp[some])], names=["rule_id", "tp", "pp"])
+
         table = self.table if where is None else self.table.filter(where)
-        on = F.lit(True)
-        for w, c in enumerate(self.columns):
-            on = on & (F.col(c).bitwiseAND(F.col(f"m{w}")) == F.col(f"m{w}"))
-        found = {r.rule_id: (r.tp, r.pp) for r in table.join(masks, on).groupBy("rule_id").agg(F.sum("n_pos").alias("tp"), F.sum("n").alias("pp")).collect()}
+        each = table.select(*self.columns, F.col("n_pos").cast("long"), F.col("n").cast("long")).mapInArrow(counted, "rule_id int, tp long, pp long")
+        found = {r.rule_id: (r.tp, r.pp) for r in each.groupBy("rule_id").agg(F.sum("tp").alias("tp"), F.sum("pp").alias("pp")).collect()}
         return [found.get(i, (0, 0)) for i in range(len(rules))]
 
 
