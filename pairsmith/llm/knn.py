@@ -53,7 +53,7 @@ def _matrix(column: list | pd.Series) -> np.ndarray:
 def top_k(df: DataFrame, vector: str = "embedding", id: str = "vec_id", k: int = 5, every: int = 50, scale: float = 256.0, pivots: int | None = None, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best for every row whose identifier ``every`` divides.
 
-    Without a number of pivots there are half as many as the root of the number of rows,
+    Without a number of pivots there are an eighth as many as the root of the number of rows,
     so that cells grow in number as in size.
     """
     return interim.settled(df.sparkSession, lambda: _top_k(df, vector, id, k, every, scale, pivots, block_rows, query_rows), "top-k")
@@ -63,7 +63,7 @@ def _top_k(df: DataFrame, vector: str, id: str, k: int, every: int, scale: float
     spark = df.sparkSession
     vectors = integer_vectors(df, vector, id, scale)
     if pivots is None:
-        pivots = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(df.count()) // 2))
+        pivots = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(df.count()) // 8))
     chosen = vectors.withColumn("dim", F.size("v")).orderBy(F.xxhash64("id"), "id").limit(pivots).select("dim", "v").collect()
     centres = {d: _matrix([r.v for r in chosen if r.dim == d]) for d in {r.dim for r in chosen}}
 
