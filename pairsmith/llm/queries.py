@@ -28,7 +28,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return pii.find(documents, pii.learn(documents)).drop("redacted")
+    return pii.find(documents, pii.learn(documents)).drop("redacted").withColumn("found", F.col("spans") != "")
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
