@@ -5,7 +5,9 @@ The root is the least of them: the leftmost pair of the lowest rank.  A merge
 changes at most three leaves, each in logarithmic time, and the piece is done
 when no leaf holds a mergeable pair.
 
-Null text counts as empty and gives no ids.  An empty table gives an empty table;
+Null text counts as empty and gives no ids.  A text of any length is encoded whole; a
+piece of n bytes takes memory in proportion to n and time to n log n.  Of equal ranks the
+leftmost pair merges.  An empty table gives an empty table;
 repeated rows give repeated results; columns other than the two named are not read.
 """
 

@@ -10,6 +10,8 @@ powers of two, which need no padding.
 Tokens of at most ``group_tokens`` are packed together, in the task that made
 them: no shuffle, bounded memory, and the same result when a task is run again.
 
+Of sequences of equal cost the earlier made is taken, of documents of equal length the
+earlier read.  A text of any length is tokenized whole and cut into full sequences.
 Null text counts as empty: the document is its end id alone.  An empty table gives
 an empty table.  Repeated rows are packed each on its own.  Other columns are not read.
 """
