@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from pairsmith.config import PairColumns
 from pairsmith.functions.predicates import Rule, any_fires, first_hit, named, truth
-from pairsmith.operators.components import connected_components
+from pairsmith.operators.components import connected_components, dealt_join, hub_size
+from pairsmith.operators.merges import merges
+from pairsmith.operators.ranks import segmented
 from pairsmith.sources import interim
 
 
@@ -80,51 +82,78 @@ def component_savings(pairs: DataFrame, values: DataFrame, c: PairColumns = Pair
     return _savings(component_labels(pairs, c), values)
 
 
-def component_table(pairs: DataFrame, values: DataFrame, c: PairColumns = PairColumns()) -> DataFrame:
-    """For each component its documents from the dearest down, with amounts, paid flags and the sums without the first."""
-    joined = component_labels(pairs, c).join(values, "node", "left").select("component", "node", F.coalesce("reimbursement", F.lit(0.0)).alias("r"), F.coalesce("paid_out", F.lit(False)).alias("p"))
-    listed = joined.groupBy("component").agg(F.sort_array(F.collect_list(F.struct((-F.col("r")).alias("minus"), F.col("node").alias("node"), F.col("p").alias("p")))).alias("docs"))
-    tail = F.slice("docs", 2, F.greatest(F.size("docs") - 1, F.lit(0)))
-    total = lambda x: F.aggregate(x, F.lit(0).cast("decimal(18,2)"), lambda a, d: (a - d["minus"].cast("decimal(18,2)")).cast("decimal(18,2)")).cast("double")
-    return listed.select(
-        "component",
-        F.size("docs").cast("long").alias("n_docs"),
-        F.transform("docs", lambda d: d["node"]).alias("nodes"),
-        F.transform("docs", lambda d: -d["minus"]).alias("reimbursements"),
-        F.transform("docs", lambda d: d["p"]).alias("paid_flags"),
-        total(tail).alias("savings_total"),
-        total(F.filter(tail, lambda d: d["p"])).alias("savings_paid"),
-    )
+def component_members(pairs: DataFrame, values: DataFrame, c: PairColumns = PairColumns()) -> DataFrame:
+    """(component, place, node, reimbursement, paid_out, n_docs, savings_total, savings_paid): the documents of each component from the dearest (place 0) down.
+
+    The savings are running totals without the first document, so the last row has those of
+    the component.  One row for each document: a component may have any number of them.
+    """
+    joined = component_labels(pairs, c).join(values, "node", "left").select("component", "node", F.coalesce("reimbursement", F.lit(0.0)).alias("reimbursement"), F.coalesce("paid_out", F.lit(False)).alias("paid_out"))
+    amount = money(F.col("reimbursement"))
+    settled = F.when(F.col("paid_out"), amount).otherwise(money(F.lit(0)))
+    # the first document's own amounts are in the running totals; every row subtracts its component's
+    ranked = interim.stored(segmented(joined, ["component"], [-F.col("reimbursement"), F.col("node")], {"total": amount, "settled": settled}, rank="place", size="n_docs"), "members")
+    first = ranked.filter("place = 0").select("component", F.col("total").alias("first_total"), F.col("settled").alias("first_settled"))
+    most = hub_size(ranked.count())
+    out = dealt_join(ranked, first, ["component"], most)
+    less = lambda x: (F.col(x) - F.col(f"first_{x}")).cast("double")
+    return out.select("component", "place", "node", "reimbursement", "paid_out", "n_docs", less("total").alias("savings_total"), less("settled").alias("savings_paid"))
+
+
+def component_table(pairs: DataFrame, values: DataFrame, c: PairColumns = PairColumns(), page: int = 10_000) -> DataFrame:
+    """For each component its documents from the dearest down, with amounts, paid flags and the sums without the first.
+
+    A component of more than ``page`` documents has a row for each so many, in the order of
+    ``page``; the sums are those of the documents up to the row's last.
+    """
+    members = component_members(pairs, values, c)
+    docs = F.sort_array(F.collect_list(F.struct("place", "node", "reimbursement", "paid_out", "savings_total", "savings_paid")))
+    out = members.groupBy("component", "n_docs", F.expr(f"place div {page}").alias("page")).agg(docs.alias("docs"))
+    part = lambda x: F.transform("docs", lambda d: d[x])
+    last = lambda x: F.element_at("docs", -1)[x].alias(x)
+    return out.select("component", "page", "n_docs", part("node").alias("nodes"), part("reimbursement").alias("reimbursements"), part("paid_out").alias("paid_flags"), last("savings_total"), last("savings_paid"))
 
 
 def composition_steps(df: DataFrame, rules: Sequence[Rule], label: str = "label") -> DataFrame:
     """(m, pp, tp) of each prefix of the composition: one count by first rule, then running sums over the few rules."""
-    hits = df.select(first_hit(rules).alias("m"), truth(label).alias("y")).filter("m >= 0").groupBy("m").agg(F.count("*").alias("n"), F.count_if("y").alias("t"))
-    spine = df.sparkSession.range(len(rules)).select(F.col("id").cast("int").alias("m"))
+    return _steps(df.select(first_hit(rules).alias("m"), truth(label).alias("y")), len(rules))
+
+
+def _steps(hits: DataFrame, n_rules: int) -> DataFrame:
+    """hits: (m, y) of every pair."""
+    counts = hits.filter("m >= 0").groupBy("m").agg(F.count("*").alias("n"), F.count_if("y").alias("t"))
+    spine = hits.sparkSession.range(n_rules).select(F.col("id").cast("int").alias("m"))
     w = Window.partitionBy(F.lit(0)).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
-    return spine.join(F.broadcast(hits), "m", "left").fillna(0).select("m", F.sum("n").over(w).alias("pp"), F.sum("t").over(w).alias("tp"))
+    return spine.join(F.broadcast(counts), "m", "left").fillna(0).select("m", F.sum("n").over(w).alias("pp"), F.sum("t").over(w).alias("tp"))
 
 
 def stepwise_net_value(df: DataFrame, rules: Sequence[Rule], review_cost: float, c: PairColumns = PairColumns()) -> DataFrame:
     """(m, pp, tp, savings_total, savings_paid, nv_total, nv_paid) of each prefix.
 
-    The components of all prefixes are found in one run: a true pair first found by
-    rule k is an edge of the prefixes k, k + 1, ..., and a node carries its prefix.
-    Only true pairs take part, each pair of documents once, with its first rule: at most
-    as many rows as such pairs times rules.  Values are looked up for their documents only.
+    The pairs are read once.  Only true pairs that a rule finds are edges, each pair of
+    documents once, with its first rule; values are looked up for their documents only.
+    Each merge of components is one row with its rule, so the savings of all prefixes are
+    running sums over as many rows as there are documents at most, however many rules.
     """
-    true = df.withColumn("m", first_hit(rules)).filter((F.col("m") >= 0) & truth(c.label))
-    first = true.select("m", node(c.key).alias("a"), node(c.key_2).alias("b")).groupBy("a", "b").agg(F.min("m").alias("m"))
-    first = interim.stored(first, "first-edges")
-    found = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    values = document_values(df, c, found)
-    edges = first.select(F.explode(F.sequence("m", F.lit(len(rules) - 1))).alias("m"), "a", "b")
-    prefix = F.lpad(F.col("m").cast("string"), 6, "0")
-    labels = connected_components(edges.select(F.concat_ws("~", prefix, "a").alias("a"), F.concat_ws("~", prefix, "b").alias("b")))
-    labels = labels.select(F.substring("node", 1, 6).cast("int").alias("m"), F.substr("node", F.lit(8)).alias("node"), F.substr("component", F.lit(8)).alias("component"))
-    savings = _savings(labels, values, ["m"])
-    out = composition_steps(df, rules, c.label).join(savings, "m", "left").fillna(0.0, ["savings_total", "savings_paid"])
-    return out.withColumns({f"nv_{x}": F.col(f"savings_{x}") - F.col("pp") * F.lit(float(review_cost)) for x in ("total", "paid")})
+
+    def made() -> DataFrame:
+        sides = [F.struct(money(named(c.reimbursement + s)).alias("r"), truth(c.paid_out + s).alias("p")).alias(v) for v, s in (("va", ""), ("vb", c.suffix))]
+        pairs = df.select(first_hit(rules).alias("m"), truth(c.label).alias("y"), node(c.key).alias("a"), node(c.key_2).alias("b"), *sides)
+        pairs = interim.stored(pairs, "pairs")
+        edges = pairs.filter("m >= 0 AND y AND a <> b").groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.min("m").alias("m"))
+        edges = interim.stored(edges.select("m", "a", "b"), "first-edges")
+        found = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "va"), F.struct(F.col("b").alias("node"), F.col("vb").alias("va")))).alias("x")).select("x.node", "x.va.*")
+        values = both.join(found, "node", "left_semi").groupBy("node").agg((F.max("r") * 100).cast("long").alias("cents"), F.bool_or("p").alias("paid"))
+        merged = merges(edges, interim.stored(values, "values"), len(rules))
+        saved = merged.groupBy("m").agg(F.sum("cents").alias("total"), F.sum(F.when(F.col("paid"), F.col("cents")).otherwise(0)).alias("settled"))
+        w = Window.partitionBy(F.lit(0)).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
+        money_of = lambda x: (F.sum(F.coalesce(x, F.lit(0))).over(w).cast("decimal(20,0)") / 100).cast("double")
+        # one row for each rule
+        out = _steps(pairs, len(rules)).join(F.broadcast(saved), "m", "left").select("m", "pp", "tp", money_of("total").alias("savings_total"), money_of("settled").alias("savings_paid"))
+        return out.withColumns({f"nv_{x}": F.col(f"savings_{x}") - F.col("pp") * F.lit(float(review_cost)) for x in ("total", "paid")})
+
+    return interim.settled(df.sparkSession, made, "steps")
 
 
 def optimum(steps: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ from pairsmith.sources import interim
 def segmented(df: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Mapping[str, Column] | None = None, rank: str = "rank", size: str = "size") -> DataFrame:
     """The rows with their rank in their group (from 0), the size of the group, and each sum's running total up to the row itself.
 
-    Null is a group like any other; no columns in ``by`` make one group of all rows.  Rows
+    The order is ascending; negate a number to descend.  Null is a group like any other; no
+    columns in ``by`` make one group of all rows.  Rows
     that tie in the whole order share the ranks between them in no stated way.  The new
     columns replace those of their names.
     """

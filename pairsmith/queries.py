@@ -355,7 +355,7 @@ def string_key_join(spark, sf):
     return pairs.join(mapping, pairs.agreement_id.cast("string") == mapping.c_custkey.cast("string"), "left").select("k", "k_2", "c_name")
 
 
-@query("l AS (SELECT k, k_2, (k * 3 + k_2) % 4 <> 1 AS other_label FROM pairs WHERE label IS NOT NULL AND (k + k_2) % 3 <> 0), j AS (SELECT p.k, p.k_2, label, other_label FROM pairs p LEFT JOIN l ON p.k = l.k AND p.k_2 = l.k_2) SELECT * FROM j WHERE (label AND other_label) IS NULL")
+@query("j AS (SELECT k, k_2, label, CASE WHEN label IS NOT NULL AND (k + k_2) % 3 <> 0 THEN (k * 3 + k_2) % 4 <> 1 END AS other_label FROM pairs) SELECT * FROM j WHERE (label AND other_label) IS NULL")
 def unlabelled_export(spark, sf):
     pairs = X.pairs(spark, sf)
     labels = pairs.filter("label IS NOT NULL AND (k + k_2) % 3 <> 0").select("k", "k_2", ((F.col("k") * 3 + F.col("k_2")) % 4 != 1).alias("other_label"))
@@ -392,6 +392,11 @@ def component_table(spark, sf):
     return out.select("component", "n_docs", F.array_join("nodes", ",").alias("nodes"), "savings_total", "savings_paid")
 
 
+@query(f"{_VALUES}, {_GRAPH}, {_RANKED} SELECT component, (place - 1)::BIGINT AS place, node, r::DOUBLE AS reimbursement, p AS paid_out, count(*) OVER (PARTITION BY component) AS n_docs, coalesce(sum(r) FILTER (place > 1) OVER w, 0)::DOUBLE AS savings_total, coalesce(sum(r) FILTER (place > 1 AND p) OVER w, 0)::DOUBLE AS savings_paid FROM ranked WINDOW w AS (PARTITION BY component ORDER BY place)")
+def component_members(spark, sf):
+    return money.component_members(_true_pairs(spark, sf), money.document_values(X.pairs(spark, sf)))
+
+
 @query(f"{_VALUES}, {_GRAPH}, {_RANKED} SELECT coalesce(sum(r) FILTER (place > 1), 0)::DOUBLE AS savings_total, coalesce(sum(r) FILTER (place > 1 AND p), 0)::DOUBLE AS savings_paid FROM ranked")
 def component_savings(spark, sf):
     return money.component_savings(_true_pairs(spark, sf), money.document_values(X.pairs(spark, sf)))
