@@ -16,8 +16,8 @@ equal length.
 Words are divided by ASCII white space; each character of scripts that have no spaces is a
 word.  Null counts as the empty text, which has no k-mers and an empty fingerprint: two of
 them are alike (1), and unlike any other (0).  A text of fewer k-mers than a tuple has a
-tuple of all of them.  Equal texts have equal fingerprints.  Texts of any length are read
-whole; positions beyond 2**24 words tie and are ordered by hash.
+tuple of them again and again.  Equal texts have equal fingerprints.  Texts of any length are read
+whole; positions beyond 2**23 words tie and are ordered by hash.
 """
 
 from __future__ import annotations
@@ -36,9 +36,11 @@ MINIMAL = 2
 SKETCHES = 64
 _POSITION = 24
 _MASK = (1 << _POSITION) - 1
+_LAST = (1 << 23) - 1
+_HASH = (1 << 64 - _POSITION) - 1
 _WHITE = " \t\n\x0b\x0c\r"
-#: Scripts without spaces between words.
-_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Scripts without spaces between words: Thai and Lao, Burmese, Khmer, Japanese, Chinese (fixed values; as ranges, which are found much faster than named scripts).
+_UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}]"
 
 
 def _longs() -> Column:
@@ -62,7 +64,7 @@ def _words(text: Column) -> Column:
 
 def _kmers(words: Column, k: int) -> Column:
     kmer = lambda i: F.xxhash64(*(F.get(words, i - j) for j in reversed(range(k))))
-    each = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: _packed(kmer(i), F.least(i, F.lit(_MASK))))
+    each = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: _packed(kmer(i), F.least(i, F.lit(_LAST))))
     return F.when((F.size(words) == 1) & (words[0] == ""), _longs()).otherwise(F.sort_array(each))
 
 
@@ -79,27 +81,29 @@ def _numbered(kmers: Column, starts: Column) -> Column:
     return F.sort_array(F.flatten(F.transform(starts, run)))
 
 
-def _sketches(numbered: Column, minimal: int, sketches: int) -> Column:
+def _sketches(numbered: Column, halves: Column, minimal: int, sketches: int) -> Column:
+    """halves: the powers of two up to the number of k-mers, falling."""
     n = F.size(numbered)
 
     def first_from(point: Column) -> Column:
         """How many lie before the point, by halving."""
-        halve = lambda a, _: F.when(a["low"] >= a["high"], a).otherwise(_half(a, point))
-        steps = F.sequence(F.lit(1), F.ceil(F.log2(n + F.lit(1))).cast("int") + 1)
-        return F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), halve, lambda a: a["low"])
+        return F.aggregate(halves, F.lit(0), lambda low, step: F.when((low + step <= n) & (F.get(numbered, low + step - 1) < point), low + step).otherwise(low))
 
-    def _half(a: Column, point: Column) -> Column:
-        middle = F.shiftright(a["low"] + a["high"], 1)
-        return F.when(numbered[middle] < point, F.struct((middle + 1).alias("low"), a["high"].alias("high"))).otherwise(F.struct(a["low"].alias("low"), middle.alias("high")))
+    def turned(x: Column) -> Column:
+        """The position above the hash, to sort by."""
+        return F.shiftleft(x.bitwiseAND(F.lit(_MASK)), 64 - _POSITION).bitwiseOR(F.shiftrightunsigned(x, _POSITION))
 
     def chosen(first: Column) -> Column:
         """The hash of the least k-mers from there on, in the order of the text."""
-        each = F.transform(F.sequence(F.lit(0), F.least(F.lit(minimal), n) - 1), lambda d: numbered[(first + d) % n])
-        ordered = F.array_sort(F.transform(each, lambda x: F.struct(x.bitwiseAND(F.lit(_MASK)).alias("at"), _hash(x).alias("h"))))
-        return F.shiftrightunsigned(F.xxhash64(F.transform(ordered, lambda x: x["h"])), 33).cast("int")
+        ordered = F.array_sort(F.array(*(turned(numbered[(first + d) % n]) for d in range(minimal))))
+        return F.shiftrightunsigned(F.xxhash64(F.transform(ordered, lambda x: x.bitwiseAND(F.lit(_HASH)))), 33).cast("int")
 
     points = F.array(*(F.lit(-(1 << 63) + j * ((1 << 64) // sketches)).cast("bigint") for j in range(sketches)))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(points, lambda p: chosen(first_from(p))))
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.transform(points, first_from), chosen))
+
+
+def _halves(numbered: Column) -> Column:
+    return F.filter(F.array(*(F.lit(1 << i) for i in reversed(range(31)))), lambda x: x <= F.size(numbered))
 
 
 def with_sketches(df: DataFrame, columns: Sequence[str], k: int = K, minimal: int = MINIMAL, sketches: int = SKETCHES) -> DataFrame:
@@ -110,7 +114,8 @@ def with_sketches(df: DataFrame, columns: Sequence[str], k: int = K, minimal: in
     df = step(df, lambda c: _kmers(named(c), k))
     df = df.select(*others, *(named(c) for c in columns), *(_run_starts(named(c)).alias(f"{c} starts") for c in columns))
     df = step(df, lambda c: _numbered(named(c), named(f"{c} starts")))
-    return step(df, lambda c: _sketches(named(c), minimal, sketches))
+    df = df.select(*others, *(named(c) for c in columns), *(_halves(named(c)).alias(f"{c} halves") for c in columns))
+    return step(df, lambda c: _sketches(named(c), named(f"{c} halves"), minimal, sketches))
 
 
 def fingerprint(sketches: Column) -> Column:
@@ -130,11 +135,11 @@ def fingerprints(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _followers(documents: DataFrame) -> tuple[DataFrame, bool]:
-    """(key, next_key, need) of each distinct document, and whether some are repeated.  The last is followed by the first."""
+    """(key, id, next_key, need) of each distinct document, and whether some are repeated.  The last is followed by the first."""
     each = documents.groupBy("key").agg(F.min("id").alias("id"), F.min(F.char_length("text")).alias("n"), F.count("*").alias("rows"))
     ranked = interim.stored(segmented(each, [], [F.col("id"), F.col("key")]), "order")
     after = ranked.select(F.col("key").alias("next_key"), F.pmod(F.col("rank") - 1, F.col("size")).alias("rank"))
-    pairs = interim.stored(ranked.join(after, "rank").select("key", "next_key", F.expr("n div 2").alias("need")), "followers")
+    pairs = interim.stored(ranked.join(after, "rank").select("key", "id", "next_key", F.expr("n div 2").alias("need")), "followers")
     return pairs, not ranked.filter("rows > 1").isEmpty()
 
 
@@ -150,11 +155,12 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text")
     def made() -> DataFrame:
         t = F.coalesce(named(text).cast("string"), F.lit(""))
         name = F.coalesce(F.concat(F.lit("="), named(key).cast("string")), F.lit("-"))
-        documents = df.select(F.concat_ws("/", name, F.md5(t)).alias("key"), named(key).alias("id"), t.alias("text"))
-        followers, repeated = _followers(documents)
+        keyed = df.select(F.concat_ws("/", name, F.md5(t)).alias("key"), named(key).alias("id"), t.alias("text"))
+        followers, repeated = _followers(keyed)
         once = lambda x: x.dropDuplicates(["key"]) if repeated else x
-        # texts are dealt by key once, for both joins
-        heads = documents.withColumnRenamed("key", "next_key").join(followers.hint("merge"), "next_key").select("key", "next_key", "need", F.col("id").alias("next_id"), F.left("text", F.col("need").cast("int")).alias("head"))
+        # dealt by key once, for both joins: no other column, so that the exchange is the same
+        documents = keyed.select("key", "text")
+        heads = documents.join(followers.withColumnsRenamed({"key": "own", "next_key": "key"}).hint("merge"), "key").select(F.col("own").alias("key"), F.col("key").alias("next_key"), "id", "need", F.left("text", F.col("need").cast("int")).alias("head"))
         n = F.char_length("text")
         joined = documents.join(once(heads).hint("merge"), "key").select("key", "next_key", "id", n.cast("long").alias("n_chars"), "text", F.concat(F.left("text", (n - F.col("need")).cast("int")), "head").alias("edited"))
         joined = joined.select("*", F.sha2("edited", 256).alias("edited_sha256"))
