@@ -23,11 +23,11 @@ An empty table gives no rows.  Other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,22 +39,53 @@ from pairsmith.sources import interim
 SKETCH_WIDTH = 1 << 22
 SKETCH_ROWS = 3
 _BLOCK = 1 << 13
-#: Distinct entries that a task gathers before it passes them on.
-_AT_ONCE = 200_000
+#: Bytes of text that a task looks at together.
+_BYTES_AT_ONCE = 8 << 20
 _SALTS = 16
 #: Letters, with A-Z as a-z, and all bytes of characters beyond ASCII stay; the rest divides terms.
-_TERM_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
+_TERM_BYTES = np.array([b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)], dtype=np.uint8)
 
 
-def terms(text: str) -> list[bytes]:
-    return text.encode().translate(_TERM_BYTES).split()
+def _hashes(lang: str, terms: list[str]) -> np.ndarray:
+    seed = xxhash.xxh3_64_intdigest(lang)
+    return np.fromiter((xxhash.xxh3_64_intdigest(t, seed) for t in terms), dtype=np.uint64, count=len(terms))
 
 
-def _cells(lang: bytes, term: bytes, width: int, rows: int) -> list[int]:
-    """The counter of a term in each row: two independent halves of a hash, combined."""
-    h = xxhash.xxh3_128_intdigest(lang + b"\0" + term)
-    a, b = h >> 64, h & ((1 << 64) - 1) | 1
-    return [(a + i * b) % (1 << 64) % width for i in range(rows)]
+def _cells(hashes: np.ndarray, width: int, rows: int) -> np.ndarray:
+    """The counter of each hash in every row of the sketch, one row of the result for each."""
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+    return np.stack([(hashes + np.uint64(i) * mixed) % np.uint64(width) + np.uint64(i * width) for i in range(rows)]).astype(np.int64)
+
+
+def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct terms, the document of each (document, term), its term, how often): of texts without nulls, in arrays throughout."""
+    n = len(text)
+    offsets = np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + n + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    clean = pa.StringArray.from_buffers(n, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(_TERM_BYTES[data]))
+    words = pc.ascii_split_whitespace(clean)
+    found = words.flatten().dictionary_encode()
+    codes = found.indices.to_numpy().astype(np.int64)
+    docs = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
+    if (blank := found.dictionary.index("").as_py()) >= 0:
+        docs, codes = docs[codes != blank], codes[codes != blank]
+    pairs, times = np.unique(docs * len(found.dictionary) + codes, return_counts=True)
+    return found.dictionary, *np.divmod(pairs, max(1, len(found.dictionary))), times
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Some rows of a batch at a time, so that their texts are few bytes or one text."""
+    ends = np.frombuffer(batch.column("text").buffers()[1], dtype=np.int32)[batch.column("text").offset :][: batch.num_rows + 1]
+    first = 0
+    while first < batch.num_rows:
+        after = max(first + 1, int(np.searchsorted(ends, ends[first] + _BYTES_AT_ONCE, side="right")) - 1)
+        yield batch.slice(first, after - first)
+        first = after
+
+
+def _coded(values: pa.Array) -> tuple[list[str], np.ndarray]:
+    found = values.dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64)
 
 
 def _fields(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
@@ -72,26 +103,20 @@ def frequent_bits(df: DataFrame, min_docs: int, width: int = SKETCH_WIDTH, rows:
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(block, counters) of this task's documents, counters no greater than the threshold."""
         counters = np.zeros(rows * width, dtype=np.int32)
-        docs: dict[str, Counter] = defaultdict(Counter)
-
-        def spill() -> None:
-            for lang, own in docs.items():
-                at = np.array([_cells(lang.encode(), t, width, rows) for t in own], dtype=np.int64).reshape(-1, rows) + np.arange(rows) * width
-                of = np.fromiter(own.values(), dtype=np.int32, count=len(own))
-                for row in at.T:
-                    np.add.at(counters, row, of)
-            docs.clear()
-
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs[lang].update(set(terms(text.as_py())))
-                if sum(map(len, docs.values())) > _AT_ONCE:
-                    spill()
-        spill()
+            for part in _slices(batch):
+                langs, lang_of = _coded(part.column("lang"))
+                words, docs, codes, _ = _split(part.column("text"))
+                found, n = np.unique(lang_of[docs] * len(words) + codes, return_counts=True)
+                for k, lang in enumerate(langs):
+                    own = found // max(1, len(words)) == k
+                    terms = words.take(pa.array(found[own] % max(1, len(words)))).to_pylist()
+                    for row in _cells(_hashes(lang, terms), width, rows):
+                        np.add.at(counters, row, n[own].astype(np.int32))
         blocks = np.minimum(counters, min_docs).astype(kind).reshape(-1, _BLOCK)
         some = np.flatnonzero(blocks.any(axis=1))
-        for part in range(0, len(some), 256):
-            own = some[part : part + 256]
+        for first in range(0, len(some), 256):
+            own = some[first : first + 256]
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array([blocks[i].tobytes() for i in own], pa.binary())], names=["block", "counters"])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,36 +141,29 @@ def term_counts(df: DataFrame, min_docs: int = 30, width: int = SKETCH_WIDTH, ro
     bits = df.sparkSession.sparkContext.broadcast(frequent_bits(df, min_docs, width, rows))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(lang, source, term, n, docs) of the terms that the sketch doesn't rule out, summed over the documents of a while."""
+        """(lang, source, term, n, docs) of the terms that the sketch doesn't rule out, summed over some documents at a time."""
         frequent = bits.value
-        n: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        docs: dict[tuple[str, str], Counter] = defaultdict(Counter)
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            possible: dict[tuple[str, bytes], bool] = {}
-            for (lang, source), own in n.items():
-                code, kept = lang.encode(), []
-                for t in own:
-                    if (ok := possible.get((lang, t))) is None:
-                        at = [c + i * width for i, c in enumerate(_cells(code, t, width, rows))]
-                        ok = possible[lang, t] = all(frequent[c >> 3] >> (7 - (c & 7)) & 1 for c in at)
-                    if ok:
-                        kept.append(t)
-                if kept:
-                    of = docs[lang, source]
-                    columns = [pa.array([lang] * len(kept)), pa.array([source] * len(kept)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array([own[t] for t in kept], pa.int64()), pa.array([of[t] for t in kept], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
-            n.clear()
-            docs.clear()
-
         for batch in batches:
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own = Counter(terms(text.as_py()))
-                n[lang, source].update(own)
-                docs[lang, source].update(own.keys())
-            if sum(map(len, n.values())) > _AT_ONCE:
-                yield from flushed()
-        yield from flushed()
+            for part in _slices(batch):
+                langs, lang_of = _coded(part.column("lang"))
+                sources, source_of = _coded(part.column("source"))
+                words, docs, codes, times = _split(part.column("text"))
+                possible = np.zeros((len(langs), len(words)), dtype=bool)
+                for k, lang in enumerate(langs):
+                    own = np.unique(codes[lang_of[docs] == k])
+                    cells = _cells(_hashes(lang, words.take(pa.array(own)).to_pylist()), width, rows)
+                    possible[k, own] = (frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).all(axis=0)
+                kept = possible[lang_of[docs], codes]
+                docs, codes, times = docs[kept], codes[kept], times[kept]
+                if not len(docs):
+                    continue
+                groups = lang_of * len(sources) + source_of
+                order = np.argsort(key := groups[docs] * len(words) + codes, kind="stable")
+                first = np.flatnonzero(np.diff(key[order], prepend=-1))
+                group, code = np.divmod(key[order][first], len(words))
+                columns = [pa.array(langs).take(pa.array(group // len(sources))), pa.array(sources).take(pa.array(group % len(sources))), words.take(pa.array(code))]
+                sums = [np.add.reduceat(times[order], first), np.diff(first, append=len(order))]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x.astype(np.int64)) for x in sums)], names=["lang", "source", "term", "n", "docs"])
 
     survivors = df.mapInArrow(counted, "lang string, source string, term string, n long, docs long")
     # dealt by term once, for the counts by source and those of the language
