@@ -238,8 +238,11 @@ def candidate_cutoff(spark, sf):
     return spark.createDataFrame(_candidate_rows(M.cut_candidates(_mined(spark, sf, 2)[1], 20)), _CANDIDATE)
 
 
-_GREEDY = f"""{_candidates(2)}, fired AS MATERIALIZED (
-  SELECT pid, any_value(n) AS n, any_value(n_pos) AS n_pos, list(rule_id) AS rules FROM (SELECT row_number() OVER () AS pid, * FROM pat) JOIN placed ON b[p0 + 1] AND coalesce(b[p1 + 1], true) GROUP BY 1
+def _greedy(table: str = "pairs", most: int | None = None) -> str:
+    """The greedy composition on the rows of a table; of more candidates than ``most`` the first by true positives."""
+    cut = "" if most is None else f", cut AS (SELECT * FROM (SELECT * REPLACE (CASE WHEN count(*) OVER () > {most} THEN row_number() OVER (ORDER BY tp DESC, rule_id) - 1 ELSE rule_id END AS rule_id) FROM placed) WHERE rule_id < {most})"
+    return f"""{_candidates(2).replace("FROM pairs", f"FROM {table}")}{cut}, fired AS MATERIALIZED (
+  SELECT pid, any_value(n) AS n, any_value(n_pos) AS n_pos, list(rule_id) AS rules FROM (SELECT row_number() OVER () AS pid, * FROM pat) JOIN {"placed" if most is None else "cut"} ON b[p0 + 1] AND coalesce(b[p1 + 1], true) GROUP BY 1
 ), goal AS (SELECT sum(n_pos) AS p, ceil(0.9::DOUBLE * sum(n_pos)) AS target FROM pat),
 greedy AS (
   SELECT 0 AS step, []::INT[] AS chosen, NULL::INT AS rule_id, 0::BIGINT AS tp, 0::BIGINT AS pp
@@ -254,12 +257,41 @@ greedy AS (
 )"""
 
 
-@query(_GREEDY + " SELECT (step - 1)::INT AS step, rule, greedy.tp::DOUBLE / greedy.pp AS precision, greedy.tp::DOUBLE / p AS recall, greedy.tp, greedy.pp FROM greedy JOIN cand ON greedy.rule_id = cand.rule_id, goal")
+_COMPOSED = " SELECT (step - 1)::INT AS step, rule, greedy.tp::DOUBLE / greedy.pp AS precision, greedy.tp::DOUBLE / p AS recall, greedy.tp, greedy.pp FROM greedy JOIN {} c ON greedy.rule_id = c.rule_id, goal"
+
+
+@query(_greedy() + _COMPOSED.format("cand"))
 def greedy_composition(spark, sf):
     patterns, found = _mined(spark, sf, 2)
     return spark.createDataFrame(M.find_composition(found, patterns, 0.9, 5).rows(), M.Composition.SCHEMA)
 
 
+#: Rules that the exact composition chooses from.
+CHOICE: list[P.Rule] = [*RULES, *((p,) for p in X.NAMES[:7])]
+
+
+def _names(rules) -> str:
+    return f"{_rows([(i, ' & '.join(r)) for i, r in enumerate(rules)])} AS t(rule_id, rule)"
+
+
+def _exact() -> str:
+    """All sets of the rules: the most precise that reaches the recall."""
+    mask = " + ".join(f"{_fires(r)}::INT * {1 << i}" for i, r in enumerate(CHOICE))
+    size = len(CHOICE)
+    return f"""sets AS MATERIALIZED (SELECT {mask} AS fired, count(*) AS n, count(*) FILTER ({_Y}) AS n_pos FROM pairs GROUP BY 1), goal AS (SELECT ceil(0.6::DOUBLE * sum(n_pos)) AS target FROM sets),
+tried AS (SELECT s.m, sum(n_pos)::BIGINT AS tp, sum(n)::BIGINT AS pp, list_filter(range({size}), lambda i: s.m & (1 << i) > 0) AS chosen FROM (SELECT range::INT AS m FROM range(1, {1 << size})) s JOIN sets ON fired & s.m > 0 GROUP BY s.m),
+won AS (SELECT tp, pp, chosen FROM tried, goal WHERE tp >= target ORDER BY tp::DOUBLE / pp DESC, tp DESC, len(chosen), chosen LIMIT 1)
+SELECT rule, tp, pp, tp::DOUBLE / pp AS precision FROM (SELECT unnest(chosen) AS rule_id, tp, pp FROM won) w JOIN {_names(CHOICE)} ON t.rule_id = w.rule_id"""
+
+
+@query(_exact())
+def exact_composition(spark, sf):
+    patterns = M.Patterns(X.pairs(spark, sf), X.NAMES)
+    best = M.exact_composition(CHOICE, patterns, 0.6)
+    chosen = [(" & ".join(CHOICE[i]), best.true_positives, best.positive_predictions, best.true_positives / best.positive_predictions) for i in best.chosen] if best else []
+    return spark.createDataFrame(chosen, "rule string, tp long, pp long, precision double")
+
+
 @query()
 def beam_composition(spark, sf):
     patterns, found = _mined(spark, sf, 1)
@@ -297,10 +329,6 @@ pruning AS (
 ), kept AS (SELECT unnest(kept) AS rule_id FROM (SELECT arg_max(kept, step) AS kept FROM pruning))"""
 
 
-def _names(rules) -> str:
-    return f"{_rows([(i, ' & '.join(r)) for i, r in enumerate(rules)])} AS t(rule_id, rule)"
-
-
 @query(_pruned(NESTED, f"range({len(NESTED)})::INT[]", "pairs") + f" SELECT rule FROM kept JOIN {_names(NESTED)} ON t.rule_id = kept.rule_id")
 def redundant_removed(spark, sf):
     patterns = M.Patterns(X.pairs(spark, sf), X.NAMES)
@@ -511,7 +539,13 @@ def expected_savings(spark, sf):
 # runs
 
 
-@query()
+_TRAIN = f"""narrow AS MATERIALIZED (SELECT * FROM pairs WHERE {_BASE} AND (label IS NOT NULL OR (import_time >= TIMESTAMP '1997-01-01' AND import_time < TIMESTAMP '1999-01-01' AND import_time_2 >= TIMESTAMP '1997-01-01' AND import_time_2 < TIMESTAMP '1999-01-01'))),
+census AS (SELECT count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS n, count(*) FILTER (label IS NULL) AS u FROM narrow), wanted AS (SELECT greatest(0, trunc(p * (1 - 0.25::DOUBLE) / 0.25::DOUBLE)::BIGINT - n) AS want, u FROM census),
+numbered AS (SELECT *, row_number() OVER (ORDER BY k, k_2) - 1 AS i FROM narrow), thinned AS (SELECT numbered.* EXCLUDE (i) FROM numbered, wanted WHERE label IS NOT NULL OR (want > 0 AND i % greatest(1, u // want) = 0)),
+train AS MATERIALIZED (SELECT * EXCLUDE (i, size) FROM (SELECT *, row_number() OVER (PARTITION BY {_Y} ORDER BY md5('42|' || k || '|' || k_2), k, k_2) AS i, count(*) OVER (PARTITION BY {_Y}) AS size FROM thinned) WHERE i <= trunc(size * (1 - 0.2::DOUBLE)))"""
+
+
+@query(f"{_TRAIN}, {_greedy('train', 50)}{_COMPOSED.format('cut')}")
 def mining_run(spark, sf):
     config = X.Config(predicates=X.PREDICATES, filters=CONFIG.filters, learning=X.Learning(2, 50, 0.9, 5), positive_rate=0.25, test_split=0.2)
     return spark.createDataFrame(pipeline.mine(X.pairs(spark, sf), config).composition.rows(), M.Composition.SCHEMA)
@@ -563,7 +597,10 @@ def optimum_rules(spark, sf):
     return spark.createDataFrame([(i, " & ".join(r)) for i, r in enumerate(_evaluated(spark, sf).optimum_rules)], "place int, rule string")
 
 
-@query()
+_HISTORIC = f"st AS (SELECT k, k_2, ({_SIM})::INT AS sum_sim, {_first(RULES)} AS stratum_k FROM pairs WHERE {_BASE} AND label IS NULL AND import_time >= TIMESTAMP '1998-11-01' AND import_time < TIMESTAMP '1998-12-01' AND import_time_2 >= TIMESTAMP '1996-11-01' AND import_time_2 < TIMESTAMP '1998-10-01')"
+
+
+@query(_ALLOC.replace(_STRATA, _HISTORIC).replace("* 500)", f"* {CONFIG.sample_size})") + ", r AS (SELECT st.stratum_k, k, k_2, sum_sim, n_sample, row_number() OVER (PARTITION BY st.stratum_k ORDER BY md5('42|' || k || '|' || k_2), k, k_2) AS i FROM st JOIN alloc ON st.stratum_k = alloc.stratum_k) SELECT k, k_2, stratum_k, sum_sim FROM r WHERE i <= n_sample AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.k = r.k AND p.k_2 = r.k_2 AND p.label IS NOT NULL)")
 def review_sample(spark, sf):
     pairs = X.pairs(spark, sf)
     labels = pairs.filter("label IS NOT NULL").select("k", "k_2", F.col("label").alias("other_label"))

@@ -25,9 +25,40 @@ def read_pairs(spark: SparkSession, path: str | Sequence[str], condition: Column
     return df
 
 
-def read_database(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """Rows of a relational database, such as a mapping of two columns."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def read_database(spark: SparkSession, url: str, query: str, key: str | None = None, partitions: int = 16, **options: str) -> DataFrame:
+    """Rows of a relational database.
+
+    With a numeric or date ``key`` of the query they are read in as many parts, each a range
+    of the key between its least and greatest value, one task and connection for each; rows of
+    a null key are in the first.  Without a key one task reads all: for small mappings.
+    """
+    jdbc = spark.read.format("jdbc").options(url=url, **options)
+    if key is None:
+        return jdbc.option("query", query).load()
+    quoted = '"' + key.replace('"', '""') + '"'
+    low, high = jdbc.option("query", f"SELECT MIN({quoted}) AS low, MAX({quoted}) AS high FROM ({query}) bounds").load().first()
+    if low is None:
+        return jdbc.option("query", query).load()
+    part = {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(partitions)}
+    return spark.read.format("jdbc").options(url=url, dbtable=f"({query}) parts", **part, **options).load()
+
+
+def read_matching(spark: SparkSession, url: str, table: str, keys: DataFrame, staging: str, key: str | None = None, partitions: int = 16, **options: str) -> DataFrame:
+    """The rows of a database table that have one of the keys; the database does the restriction.
+
+    The distinct keys are written to the table ``staging`` there, which is overwritten; its
+    columns have the names of the table's.  ``key`` and ``partitions`` as in ``read_database``.
+    """
+    write_database(keys.distinct(), url, staging, **options)
+    names = ['"' + c.replace('"', '""') + '"' for c in keys.columns]
+    same = " AND ".join(f"t.{c} = s.{c}" for c in names)
+    return read_database(spark, url, f"SELECT t.* FROM {table} t WHERE EXISTS (SELECT 1 FROM {staging} s WHERE {same})", key, partitions, **options)
+
+
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """A table whose rows are dealt by keys into buckets, and sorted in them: joins and groupings by these keys with tables of as many buckets read it without a shuffle."""
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def base_filter(f: Filters, c: PairColumns = PairColumns()) -> Column:

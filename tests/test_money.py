@@ -165,3 +165,42 @@ def test_a_database_gives_back_what_it_got(spark, tmp_path):
     rows = [(1, "one"), (2, "two"), (3, None)]
     S.write_database(spark.createDataFrame(rows, "code int, name string"), url, "mapping", driver=driver)
     assert sorted(map(tuple, S.read_database(spark, url, 'SELECT * FROM mapping WHERE "code" > 1', driver=driver).collect())) == rows[1:]
+
+
+def test_a_database_is_read_in_parts(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/parts;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    S.write_database(spark.range(100).selectExpr("id AS code", "id % 7 AS kind", "CAST(id AS string) AS name"), url, "mapping", driver=driver)
+    parts = S.read_database(spark, url, "SELECT * FROM mapping", key="code", partitions=5, driver=driver)
+    assert parts.rdd.getNumPartitions() == 5 and sorted(r.code for r in parts.collect()) == list(range(100))
+    assert max(len(x) for x in parts.rdd.glom().collect()) <= 25
+    none = S.read_database(spark, url, 'SELECT * FROM mapping WHERE "code" < 0', key="code", driver=driver)
+    assert none.count() == 0
+    keys = spark.createDataFrame([(3, 3), (8, 1), (8, 1), (9, 9), (None, 2)], "code long, kind long")
+    found = S.read_matching(spark, url, "mapping", keys, "wanted", key="code", partitions=3, driver=driver)
+    assert sorted((r.code, r.name) for r in found.collect()) == [(3, "3"), (8, "8")] and found.rdd.getNumPartitions() == 3
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EXISTS (SELECT 1 FROM wanted" in scan
+
+
+def test_bucketed_pairs_are_joined_without_moving_them(spark):
+    n = 40
+    keys = ["stack_id", "doc_id", "sub_doc_id"]
+    edges = [(f"{i}", f"{i + 1}") for i in range(n)]
+    df, _ = pair_table(spark, edges, {}, {})
+    amounts = spark.createDataFrame([("s", f"{i}", "1", float(i)) for i in range(n + 1)], "stack_id string, doc_id string, sub_doc_id string, reimbursement double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs, dimension = S.write_bucketed(df, "bucketed_pairs", keys, 3), S.write_bucketed(amounts, "bucketed_amounts", keys, 3)
+        joined = money.join_money(pairs, dimension)
+        assert {(r.doc_id, r.reimbursement, r.reimbursement_2) for r in joined.collect()} == {(a, float(a), float(b)) for a, b in edges}
+        plan = pairs.join(dimension.groupBy(*keys).agg({"reimbursement": "max"}), keys, "left")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        # only the second join moves the pairs
+        whole = joined._jdf.queryExecution().executedPlan().toString()
+        assert whole[whole.index("Initial Plan") if "Initial Plan" in whole else 0 :].count("Exchange hashpartitioning(stack_id_2") == 1
+        assert "Exchange hashpartitioning(stack_id#" not in whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS bucketed_pairs")
+        spark.sql("DROP TABLE IF EXISTS bucketed_amounts")
