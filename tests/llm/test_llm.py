@@ -334,7 +334,8 @@ def test_base_spans():
     for _ in range(5000):
         t = "".join(rng.choice("a1@.+ -()25.%@1é") for _ in range(rng.randint(1, 40)))
         assert pii.base_spans(t) == naive_base(t)
-    assert pii.base_spans("9" * 6000 + " 1.2.3.4") == naive_base("9" * 4000 + " 1.2.3.4")[:0] + [(1, 6001, 6008)]
+    long = "9" * 6000 + " 1.2.3.4"
+    assert pii.base_spans(long) == naive_base(long) == [(1, 6001, 6008)]
 
 
 def test_random_field_finds_what_patterns_miss(spark):
