@@ -528,35 +528,78 @@ def test_repeated_substrings_of_the_table(spark, sf, texts):
 
 
 def naive_lines(rows):
-    """rows: (id, text). Lines to drop of each, by comparing templates as tuples and texts by their shingles."""
-    def templates(line):
+    """rows: (id, text). Lines to drop of each: lines by their constant places as tuples, texts by their shingles."""
+
+    def tokens_of(line):
         w = re.findall(r"[^\x20\x09-\x0D]+", line)
         width = len(line.strip(" \t\n\x0b\x0c\r").encode())
         if not w or not (re.search("[A-Za-z\x80-\U0010ffff]", line) or len(w) >= lines.MIN_TOKENS and width >= lines.MIN_BYTES):
-            return []
-        fields = [None if re.search("[0-9]", x) else x for x in w]
-        enough = lambda part: sum(x is not None for x in part) * lines.TOKENS_PER_CONSTANT >= len(w)
-        lead = min(len(w), lines.DEPTH)
-        cuts = [lead + (len(w) - lead) * k // lines.STRETCHES for k in range(lines.STRETCHES + 1)]
-        out = [("whole", *(fields if enough(fields) else w))]
-        if len(w) >= lines.OPEN_TOKENS:
-            rest = [(k, fields[: cuts[k]], fields[cuts[k + 1] :]) for k in range(lines.STRETCHES)]
-            out += [(k, len(w), *a, "|", *b) for k, a, b in rest if enough([*a, *b])]
-        return [(x, width < lines.MIN_BYTES) for x in out]
+            return None, False
+        fields = ["<number>" if re.search("[0-9]", x) else x for x in w]
+        return tuple(fields if sum(x != "<number>" for x in fields) * lines.TOKENS_PER_CONSTANT >= len(w) else w), width < lines.MIN_BYTES
+
+    every = [(i, t, n, *tokens_of(line)) for i, t in rows for n, line in enumerate((t or "").split("\n"))]
+    every = [x for x in every if x[3]]
+    seen = defaultdict(set)  # texts that have a token in a place of a leaf
+    leaves = lambda w: [(len(w), "first", w[: lines.DEPTH]), (len(w), "last", w[-lines.DEPTH :])] if len(w) >= lines.OPEN_TOKENS else []
+
+    def places(w):
+        k = min(len(w), lines.SLOTS)
+        return [w[len(w) * j // k : len(w) * (j + 1) // k] for j in range(k)]
+
+    for _, t, _, w, _ in every:
+        for leaf in leaves(w):
+            seen[leaf].add(t)
+            for j, x in enumerate(places(w)):
+                seen[leaf, j, x].add(t)
+
+    def templates(w):
+        yield ("whole", w)
+        for leaf in leaves(w):
+            for share in lines.SHARES:
+                left = tuple(x if len(seen[leaf, j, x]) >= max(lines.MIN_DOCUMENTS, len(seen[leaf]) / share) else None for j, x in enumerate(places(w)))
+                constant = sum(x is not None for x in left)
+                if lines.LEAST_CONSTANT <= constant < len(left) and 3 * constant >= 2 * len(left):
+                    yield (share, leaf, left)
 
     texts, short, first = defaultdict(set), defaultdict(lambda: True), {}
-    for i, t in rows:
-        for line in (t or "").split("\n"):
-            for k, is_short in templates(line):
-                texts[k].add(t)
-                short[k] &= is_short
-                first[k] = min(first.get(k, (i, t)), (i, t))
+    for i, t, _, w, is_short in every:
+        for k in templates(w):
+            texts[k].add(t)
+            short[k] &= is_short
+            first[k] = min(first.get(k, (i, t)), (i, t))
     needed = {k: lines.SHORT_DOCUMENTS if short[k] else lines.MIN_DOCUMENTS for k in texts}
     sharing = {t for k, own in texts.items() if len(own) >= needed[k] for t in own}
     _, origin = naive_links({i: t for i, t in rows if t in sharing})
     of_text = {t: origin[i] for i, t in rows if t in sharing}
     recurring = {k for k, own in texts.items() if len(own) >= needed[k] and len({of_text[t] for t in own}) >= needed[k]}
-    return {i: [n for n, line in enumerate((t or "").split("\n")) if any(k in recurring and first[k][1] != t for k, _ in templates(line))] for i, t in rows}
+    gone = {i: [] for i, _ in rows}
+    for i, t, n, w, _ in every:
+        if any(k in recurring and first[k][1] != t for k in templates(w)):
+            gone[i].append(n)
+    return gone
+
+
+FIELDS = [
+    "Posted by {} in the general discussion forum today",
+    "This story was written by {} for our readers today",
+    "{} shared this article with you and friends through the newsletter service",
+    "Thank you {} for visiting our web site and for reading about the news of the day here with us again",
+    "Our warmest thanks go to {} of {} who wrote to us about the old bridge and who sent the pictures that you see below",
+    "Our editors wish to thank the writer {} whose letters about the town we have read with great pleasure this year",
+]
+
+
+@pytest.mark.parametrize("line", FIELDS)
+def test_lines_with_word_fields_go(spark, line):
+    """In 200 unlike documents, each with other words in the fields; lines that merely begin alike stay."""
+    name = lambda k: prose(40_000 + k, 1)
+    rows = [(i, "\n".join([prose(30_000 + i, 40), line.format(f"{name(i)}x{chr(97 + i % 26)}{chr(97 + i // 26)}", name(i + 500)), "Posted by " + prose(50_000 + i, 7)])) for i in range(200)]
+    page = [prose(60_000 + k, 30) for k in range(12)]
+    rows += [(500 + i, "\n".join([*page[: i % 12], page[i % 12] + f" edit{i}", *page[i % 12 + 1 :]])) for i in range(20)]  # near copies stay whole
+    got = {r.row.doc_id: r for r in lines.without_recurring_lines(documents(spark, [t for _, t in rows], [i for i, _ in rows])).collect()}
+    assert {i: r.n_dropped for i, r in got.items()} == {i: int(0 < i < 200) for i, _ in rows}
+    assert all(got[i].t == "\n".join(rows[i][1].split("\n")[::2]) for i in range(1, 200))
 
 
 def test_lines(spark):
