@@ -88,16 +88,19 @@ def component_members(pairs: DataFrame, values: DataFrame, c: PairColumns = Pair
     The savings are running totals without the first document, so the last row has those of
     the component.  One row for each document: a component may have any number of them.
     """
-    joined = component_labels(pairs, c).join(values, "node", "left").select("component", "node", F.coalesce("reimbursement", F.lit(0.0)).alias("reimbursement"), F.coalesce("paid_out", F.lit(False)).alias("paid_out"))
-    amount = money(F.col("reimbursement"))
-    settled = F.when(F.col("paid_out"), amount).otherwise(money(F.lit(0)))
-    # the first document's own amounts are in the running totals; every row subtracts its component's
-    ranked = interim.stored(segmented(joined, ["component"], [-F.col("reimbursement"), F.col("node")], {"total": amount, "settled": settled}, rank="place", size="n_docs"), "members")
-    first = ranked.filter("place = 0").select("component", F.col("total").alias("first_total"), F.col("settled").alias("first_settled"))
-    most = hub_size(ranked.count())
-    out = dealt_join(ranked, first, ["component"], most)
-    less = lambda x: (F.col(x) - F.col(f"first_{x}")).cast("double")
-    return out.select("component", "place", "node", "reimbursement", "paid_out", "n_docs", less("total").alias("savings_total"), less("settled").alias("savings_paid"))
+
+    def made() -> DataFrame:
+        joined = component_labels(pairs, c).join(values, "node", "left").select("component", "node", F.coalesce("reimbursement", F.lit(0.0)).alias("reimbursement"), F.coalesce("paid_out", F.lit(False)).alias("paid_out"))
+        amount = money(F.col("reimbursement"))
+        settled = F.when(F.col("paid_out"), amount).otherwise(money(F.lit(0)))
+        # the first document's own amounts are in the running totals; every row subtracts its component's
+        ranked = interim.stored(segmented(joined, ["component"], [-F.col("reimbursement"), F.col("node")], {"total": amount, "settled": settled}, rank="place", size="n_docs"), "members")
+        first = ranked.filter("place = 0").select("component", F.col("total").alias("first_total"), F.col("settled").alias("first_settled"))
+        out = dealt_join(ranked, first, ["component"], hub_size(ranked.count()))
+        less = lambda x: (F.col(x) - F.col(f"first_{x}")).cast("double")
+        return out.select("component", "place", "node", "reimbursement", "paid_out", "n_docs", less("total").alias("savings_total"), less("settled").alias("savings_paid"))
+
+    return interim.settled(pairs.sparkSession, made, "component-members")
 
 
 def component_table(pairs: DataFrame, values: DataFrame, c: PairColumns = PairColumns(), page: int = 10_000) -> DataFrame:
