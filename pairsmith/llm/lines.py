@@ -53,7 +53,7 @@ SHORT_DOCUMENTS = 10
 DEPTH = 3
 OPEN_TOKENS = 6
 #: Places of a line at most, and of how many of a leaf's texts one has a constant token in its place.
-SLOTS = 32
+SLOTS = 16
 SHARES = (4, 32)
 #: Constant places that a template with word fields has at least, besides two thirds of them.
 LEAST_CONSTANT = 5
@@ -121,16 +121,21 @@ def _keyed_lines(batches: Iterator[pa.RecordBatch], min_tokens: int, min_bytes:
         )
 
 
-def _differing(lines: DataFrame, key: str) -> DataFrame:
-    """The rows whose key occurs in more than one text: most occur in one only; min and max tell, whatever the key's size."""
-    keys = interim.stored(lines.groupBy(key).agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a <> b").select(key), "keys")
+def _differing(lines: DataFrame, key: str, *values: str) -> DataFrame:
+    """The rows whose key has more than one of each value: most have one only; min and max tell, whatever the key's size."""
+    ends = [f(v).alias(f"{f.__name__} {v}") for v in values for f in (F.min, F.max)]
+    differ = " AND ".join(f"`min {v}` <> `max {v}`" for v in values)
+    keys = interim.stored(lines.groupBy(key).agg(*ends).filter(differ).select(key), "keys")
     return lines.join(keys.hint("merge"), key, "left_semi")
 
 
 def _with_fields(lines: DataFrame, min_documents: int) -> DataFrame:
-    """(doc, class, line, short, key) of the lines of leaves in texts enough, with what is not constant in them left out of the key."""
-    own = lines.filter(F.size("leaves") > 0).select("doc", "class", "line", "short", "places", F.explode("leaves").alias("leaf"))
-    own = interim.stored(_differing(own, "leaf"), "leaf-lines")
+    """(doc, class, line, short, key) of the lines of leaves in texts enough, with what is not constant in them left out of the key.
+
+    A leaf of one line only, in whatever many texts, has no fields and is left out first.
+    """
+    each = lines.filter(F.size("leaves") > 0).select("doc", "class", "line", "short", "places", "key", F.explode("leaves").alias("leaf"))
+    own = interim.stored(_differing(each, "leaf", "class", "key").drop("key"), "leaf-lines")
     # at each place, and for the leaf itself at place -1, the texts that have a token
     placed = own.select("leaf", "class", F.posexplode("places").alias("place", "token")).unionByName(own.select("leaf", "class", F.lit(-1).alias("place"), F.lit(0).alias("token")))
     texts = placed.distinct().groupBy("leaf", "place", "token").agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
@@ -157,7 +162,7 @@ def recurring_lines(df: DataFrame, text: str = "text", id: str = "doc_id", min_d
     rows = df.select(doc.alias("doc"), F.xxhash64(text).alias("class"), F.col(text).alias("t"))
     kind = rows.schema["doc"].dataType.simpleString()
     lines = interim.stored(rows.mapInArrow(lambda b: _keyed_lines(b, min_tokens, min_bytes), f"doc {kind}, class long, line int, short boolean, key long, leaves array<long>, places array<int>"), "lines")
-    whole = _differing(lines.select("doc", "class", "line", "short", "key"), "key")
+    whole = _differing(lines.select("doc", "class", "line", "short", "key"), "key", "class")
     keyed = interim.stored(whole.unionByName(_with_fields(lines, min_documents)), "template-keys")
     # one row for each key and text: a key of many copies shrinks before it is counted
     texts = interim.stored(keyed.groupBy("key", "class").agg(F.min("doc").alias("doc"), F.min("short").alias("short")), "template-texts")
