@@ -55,10 +55,9 @@ def join_money(pairs: DataFrame, amounts: DataFrame, c: PairColumns = PairColumn
 def document_values(pairs: DataFrame, c: PairColumns = PairColumns(), nodes: DataFrame | None = None) -> DataFrame:
     """(node, reimbursement, paid_out) of the documents of both sides, or of the given nodes: greatest amount (0 if unknown), paid if any row says so."""
     sides = [pairs.select(node(k).alias("node"), money(named(c.reimbursement + s)).alias("r"), truth(c.paid_out + s).alias("p")) for k, s in ((c.key, ""), (c.key_2, c.suffix))]
-    both = sides[0].union(sides[1])
-    if nodes is not None:
-        both = both.join(nodes, "node", "left_semi")
-    return both.groupBy("node").agg(F.max("r").cast("double").alias("reimbursement"), F.bool_or("p").alias("paid_out"))
+    # one row for each document before the join, which sorts
+    each = sides[0].union(sides[1]).groupBy("node").agg(F.max("r").cast("double").alias("reimbursement"), F.bool_or("p").alias("paid_out"))
+    return each if nodes is None else each.join(nodes, "node", "left_semi")
 
 
 def component_labels(pairs: DataFrame, c: PairColumns = PairColumns()) -> DataFrame:
@@ -147,8 +146,9 @@ def stepwise_net_value(df: DataFrame, rules: Sequence[Rule], review_cost: float,
         edges = interim.stored(edges.select("m", "a", "b"), "first-edges")
         found = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "va"), F.struct(F.col("b").alias("node"), F.col("vb").alias("va")))).alias("x")).select("x.node", "x.va.*")
-        values = both.join(found, "node", "left_semi").groupBy("node").agg((F.max("r") * 100).cast("long").alias("cents"), F.bool_or("p").alias("paid"))
-        merged = merges(edges, interim.stored(values, "values"), len(rules))
+        # a document is in many pairs: it is one row, summed up within the tasks that read them, before anything is sorted
+        each = both.groupBy("node").agg((F.max("r") * 100).cast("long").alias("cents"), F.bool_or("p").alias("paid"))
+        merged = merges(edges, interim.stored(each.join(found, "node", "left_semi"), "values"), len(rules))
         saved = merged.groupBy("m").agg(F.sum("cents").alias("total"), F.sum(F.when(F.col("paid"), F.col("cents")).otherwise(0)).alias("settled"))
         w = Window.partitionBy(F.lit(0)).orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
         money_of = lambda x: (F.sum(F.coalesce(x, F.lit(0))).over(w).cast("decimal(20,0)") / 100).cast("double")

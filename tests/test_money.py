@@ -72,6 +72,25 @@ def test_stepwise_net_value(spark, seed):
     assert [(r.pp, r.tp, r.savings_total, r.savings_paid, r.nv_total, r.nv_paid) for r in rows] == expected
 
 
+def test_a_document_of_many_pairs_is_one_row_before_anything_is_sorted(spark, monkeypatch):
+    """The join with the documents of true pairs stands above the sums, so its sort has documents and not sides of pairs."""
+    edges = [("hub", f"d{i}") for i in range(40)]
+    df, rules = pair_table(spark, edges, {"hub": 9.0, "d1": 2.0}, {"d1": True}, ["1" * 40], "1" * 20 + "0" * 20)
+    plans, stored = {}, money.interim.stored
+    monkeypatch.setattr(money.interim, "stored", lambda x, name: plans.setdefault(name, x._jdf.queryExecution().optimizedPlan().toString()) and stored(x, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        row = money.stepwise_net_value(df, rules, 1.0).first()
+        nodes = df.select(money.node(["stack_id", "doc_id_2", "sub_doc_id"]).alias("node")).distinct()
+        looked = money.document_values(df, nodes=nodes)
+        plans["looked"] = looked._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.node: r.reimbursement for r in looked.collect()} == {f"s|d{i}|1": 2.0 if i == 1 else 0.0 for i in range(40)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (row.pp, row.tp, row.savings_total, row.savings_paid) == (40, 20, 2.0, 2.0)
+    assert all(plans[x].startswith("Join LeftSemi") for x in ("values", "looked"))
+
+
 def test_keys_with_nulls_and_bars_are_documents_of_their_own(spark):
     keys = [("a", None, "b"), ("a", "b", None), ("a|b", "c", "d"), ("a", "b|c", "d"), ("a", "\\N", "b"), ("a\\", "|b", "c"), ("a", "\\|b", "c"), ("s", "k", "1")]
     df = spark.createDataFrame(keys, "stack_id string, doc_id string, sub_doc_id string")
