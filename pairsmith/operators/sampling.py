@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,11 @@ from pairsmith.operators.evaluate import census
 
 def keyed_hash(seed: int, keys: Sequence[str]) -> Column:
     """An order of rows that looks random but depends on the keys alone."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(named(k).cast("string") for k in keys)))
+    return hashed(seed, map(named, keys))
+
+
+def hashed(seed: int, keys: Iterable[Column]) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)))
 
 
 def sampling_step(n_pos: int, n_labelled_neg: int, n_unlabelled: int, positive_rate: float) -> int | None:
@@ -38,20 +42,25 @@ def downsample(df: DataFrame, keys: Sequence[str], positive_rate: float | None,
     return with_row_index(df, keys).filter(labelled | (F.col("row_index") % step == 0)).drop("row_index")
 
 
-def with_row_index(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """row_index 0, 1, ... in the order of the keys, without one task that sorts all rows."""
+def with_row_index(df: DataFrame, keys: Sequence[str], order: Callable[[Callable[[str], Column]], Sequence[Column]] | None = None) -> DataFrame:
+    """row_index 0, 1, ... in the order of the keys, without one task that sorts all rows.
+
+    order: makes the columns to order by, in place of the keys, from those of the row; they
+    are made anew behind each shuffle and not carried through it.
+    """
     from pairsmith.sources import interim
 
-    placed = df.select(F.struct("*").alias("row"), *(named(k).alias(f"k{i}") for i, k in enumerate(keys)))
-    order = [f"k{i}" for i in range(len(keys))]
-    placed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = interim.stored(placed.select("row", *order, F.spark_partition_id().alias("part")), "row-index")
-    counts = placed.groupBy("part").agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
+    short = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    by = [F.col(short[k]) for k in keys] if order is None else list(order(lambda c: F.col(short[c])))
+    dealt = df.toDF(*short.values()).repartitionByRange(*by)
+    placed = interim.stored(dealt.withColumn("part", F.spark_partition_id()), "row-index")
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
     # one row for each partition
-    bases = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    number = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    numbered = placed.withColumn("number", number).join(F.broadcast(bases), "part")
-    return numbered.select("row.*", (F.col("base") + F.col("number") - 1).alias("row_index"))
+    bases = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    places = [f"o{i}" for i in range(len(by))]
+    together = placed.repartition("part").select("*", *(o.alias(p) for o, p in zip(by, places, strict=True)))
+    numbered = together.withColumn("number", F.row_number().over(Window.partitionBy("part").orderBy(*places))).join(F.broadcast(bases), "part")
+    return numbered.select(*(F.col(s).alias(c) for c, s in short.items()), (F.col("base") + F.col("number") - 1).alias("row_index"))
 
 
 def train_test_split(df: DataFrame, keys: Sequence[str], test_split: float | None, seed: int = 42, label: str = "label") -> DataFrame:
@@ -61,10 +70,11 @@ def train_test_split(df: DataFrame, keys: Sequence[str], test_split: float | Non
     sizes = {r.y: r["count"] for r in df.groupBy(truth(label).alias("y")).count().collect()}
     negatives = sizes.get(False, 0)
     train = {y: int(n * (1 - test_split)) for y, n in sizes.items()}
-    ordered = df.select(F.struct("*").alias("row"), truth(label).alias("y"), keyed_hash(seed, keys).alias("h"), *(named(k).alias(f"key{i}") for i, k in enumerate(keys)))
-    placed = with_row_index(ordered, ["y", "h", *(f"key{i}" for i in range(len(keys)))])  # negatives first
-    in_class = F.col("row_index") - F.when(F.col("y"), negatives).otherwise(0)
-    return placed.select("row.*", (in_class < F.when(F.col("y"), train.get(True, 0)).otherwise(train.get(False, 0))).alias("is_train"))
+    true = lambda y: F.coalesce(y.cast("boolean"), F.lit(False))
+    # negatives first
+    placed = with_row_index(df, keys, lambda own: [true(own(label)), hashed(seed, map(own, keys)), *map(own, keys)])
+    in_class = F.col("row_index") - F.when(truth(label), negatives).otherwise(0)
+    return placed.select(*map(named, df.columns), (in_class < F.when(truth(label), train.get(True, 0)).otherwise(train.get(False, 0))).alias("is_train"))
 
 
 def with_stratum(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:

@@ -40,7 +40,9 @@ def mine(pairs: DataFrame, config: Config, keys: Sequence[str] = ("k", "k_2")) -
     """Filter, downsample, split, compress to patterns, mine, cut off and compose."""
     groups = P.build_groups(config.predicates)
     names = [p for _, own in groups for p in own]
-    rows = pairs.filter(S.train_filter(config.filters, config.columns))
+    # the rows are dealt out in order twice; only these columns go with them
+    wanted = dict.fromkeys([*keys, config.columns.label, *names])
+    rows = pairs.filter(S.train_filter(config.filters, config.columns)).select(*map(P.named, wanted))
     rows = sampling.downsample(rows, keys, config.positive_rate, config.columns.label)
     rows = sampling.train_test_split(rows, keys, config.test_split, config.seed, config.columns.label)
     patterns = M.Patterns(rows.filter("is_train"), names, config.columns.label)

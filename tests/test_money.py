@@ -5,9 +5,12 @@ from datetime import datetime
 
 import pytest
 
+from pairsmith import fixtures as X
 from pairsmith.config import Config, Filters, Learning
 from pairsmith.operators import money, sampling, strata
 from pairsmith.operators.components import connected_components
+from pairsmith.plans import pipeline
+from pairsmith.sources import interim
 from pairsmith.sources import pairs as S
 
 
@@ -138,6 +141,17 @@ def test_sampling_step():
     assert sampling.sampling_step(1000, 0, 10, 0.1) == 1
 
 
+def test_mining_deals_out_only_what_it_reads(spark, sf, monkeypatch):
+    """Tables of rows in order hold keys, label and predicates once, and no hash of them."""
+    tables, stored = [], interim.stored
+    monkeypatch.setattr(interim, "stored", lambda x, name: (tables.append(x) if name == "row-index" else None) or stored(x, name))
+    config = Config(predicates=X.PREDICATES, filters=X.CONFIG.filters, learning=Learning(2, 50, 0.9, 5), positive_rate=0.25, test_split=0.2)
+    result = pipeline.mine(X.pairs(spark, sf), config)
+    assert result.metrics["train_pair_count"] > 0 and len(tables) == 2
+    for t in tables:
+        assert len(t.columns) == len(X.NAMES) + 4 and {kind for _, kind in t.dtypes} == {"bigint", "boolean", "int"}
+
+
 def test_row_index_and_split(spark):
     df = spark.createDataFrame([(i, i % 5 == 0) for i in range(500)], "k long, label boolean").repartition(7)
     assert [r.row_index for r in sampling.with_row_index(df, ["k"]).orderBy("k").collect()] == list(range(500))
