@@ -518,6 +518,15 @@ def test_null_identifiers_and_texts_of_one_short_hash(spark):
     assert sorted(n for _, n in got.values()) == [0, len(passage.encode()) + 1, len(passage.encode()) + 1]
 
 
+def test_repeats_in_texts_of_unlike_lengths(spark):
+    """Two words whose hashes agree in their upper 44 bits are the least of a passage: its trigger must not depend on the text around it."""
+    passage = f"{'a' * 100}myrezbkilcsi{'a' * 100}nhbibibydajr{'a' * 176}"
+    texts = [passage, f"{passage} {prose(3, 120_000)}"]
+    assert len(passage) == 400 and len(texts[1].encode()) > 1 << 19
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.without_repeats(documents(spark, texts)).collect()}
+    assert got == {i: (400, 1, hashlib.sha256(t[400:].encode()).hexdigest()) for i, t in enumerate(texts)}
+
+
 def test_repeated_substrings_of_the_table(spark, sf, texts):
     ids = sorted(texts)
     expected = dict(zip(ids, naive_repeats([texts[i].encode() for i in ids], 400), strict=True))
